@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import decontaminate
+from lodestrand.llm import bpe, decontaminate
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
     "op8_decontamination": decontaminate.op8_decontamination,
 }
 SQL = {
