@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import bpe, decontaminate
+from lodestrand.llm import bpe, decontaminate, simhash, token_store
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_simhash": simhash.op3_simhash,
+    "op4_token_store": token_store.op4_token_store,
     "op8_decontamination": decontaminate.op8_decontamination,
 }
 SQL = {
