@@ -94,7 +94,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     state, edges = None, materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     while True:
-        now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum("b").cast("string")).first())
+        now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a))")).first())
         if now[0] == 0 or now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
