@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import bpe, decontaminate, simhash, token_store
+from lodestrand.llm import bpe, decontaminate, lm_score, simhash, token_store
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op4_token_store": token_store.op4_token_store,
