@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import bpe, decontaminate, lm_score, simhash, token_store
+from lodestrand.llm import bpe, decontaminate, fingerprint, lm_score, quality, simhash, token_store, url_filter
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op4_token_store": token_store.op4_token_store,
+    "op5_fingerprint": fingerprint.op5_fingerprint,
+    "op7_quality": quality.op7_quality,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 SQL = {
     "op8_decontamination": decontaminate.OP8_SQL,
+    "op10_url_filter": url_filter.OP10_SQL,
 }
