@@ -137,6 +137,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes:
     return found.drop("body")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of a test item, with all columns as they are."""
+    found = scan(docs.select(F.struct("*").alias("row"), F.col("text").alias("of")), benchmark, "of")
+    return found.where(F.size("scan.items") == 0).select("row.*")
+
+
 def _digest(spark: SparkSession, found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:

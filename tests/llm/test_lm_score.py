@@ -4,11 +4,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestrand.llm import lm_score as lm
 
 
+def _tokens(text):
+    return [*text.encode().lower().split(), lm.END] if text else [lm.END]
+
+
 def _docs(n, seed):
     r = random.Random(seed)
     tongues = [[f"{p}{k}" for k in range(40)] for p in ("a", "É", "z")]
@@ -17,7 +22,7 @@ def _docs(n, seed):
 
 def test_classes_sum_to_one_and_training_helps():
     rows = _docs(90, 1)
-    texts = [lm.tokens_of(t.encode()) for _, t in rows]
+    texts = [_tokens(t) for _, t in rows]
     counts = Counter(t for x in texts for t in x)
     top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
     words = [lm.END] + [t for t, _ in top if t != lm.END][:50]
@@ -25,7 +30,8 @@ def test_classes_sum_to_one_and_training_helps():
     totals = {k: (counts[w], 1) for k, w in enumerate(words)} | {len(words): (sum(counts[t] for t in rest), len(rest))}
     lex = lm.Lexicon(top, words, [], totals)
     model = lm.Model(lex.n_class)
-    _, classes, starts = lex.read(texts)
+    batch = lm.Batch(pa.array([t for _, t in rows]))
+    (_, classes), starts = lex.read(batch), batch.starts
     seq, where = model.padded(classes, starts)
     before = model.log10_probabilities(classes, starts).mean()
     r = np.random.default_rng(3)
@@ -47,7 +53,7 @@ def test_counts_and_scores(spark, head):
     got = sorted(map(tuple, lm.score(df, head).collect()), key=str)
     assert len(got) == len(rows)
     held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows}
-    texts = [(i, lm.tokens_of(t.encode() if t else None)) for i, t in rows]
+    texts = [(i, _tokens(t)) for i, t in rows]
     c = Counter(w for i, x in texts if not held[i] for w in x)
     n, v = sum(c.values()), len(c)
     want = sorted(((i, held[i], len(x), sum(c[w] > 0 for w in x), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x)) for i, x in texts), key=str)
