@@ -13,9 +13,11 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +29,21 @@ MAGIC = b"LTOK1\n"
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1_000, 2_048, 65_536
 #: A shard is closed beyond so many bytes of frames.
 SHARD_BYTES = 1 << 20
-#: Pieces of text that one Python worker remembers, and their longest size.
-CACHE_PIECES, CACHE_CHARS = 250_000, 48
+#: Words that one Python worker remembers, and their ids in all; new words that are encoded together.
+CACHE_WORDS, CACHE_IDS, GROUP = 400_000, 4_000_000, 256
 _HEAD = struct.Struct("<32sBII")
 
 
 class WordEncoder:
-    """A tokenizer whose white space only separates: pieces between ASCII blanks are encoded alone and remembered.
+    """A tokenizer whose white space only separates: words between ASCII blanks are encoded alone and remembered.
 
-    ``width``: bytes of an id in what ``encode`` returns.
+    Each word that a batch repeats is looked up once; what the batch's words encode to is gathered in one step.
+    ``width``: bytes of an id.
     """
 
+    #: Separates words that are encoded together: a control character, which is one token and part of no other.
+    _MARK = "\x01"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -45,33 +51,60 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if len(self.young) >= CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        young = self.young
-        large = self._learn({p for p in pieces if p not in young})
-        out = b"".join(map(young.__getitem__, pieces))
-        for p in large:
-            del young[p]
-        return out
-
-    def _learn(self, pieces: set[str]) -> list[str]:
-        """Remember all of ``pieces``; returns those too long to be kept."""
-        new = []
-        for p in pieces:
-            if (known := self.old.get(p)) is not None:
-                self.young[p] = known
-            else:
-                new.append(p)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.young[p] = np.array(e.ids, self.kind).tobytes()
-        return [p for p in new if len(p) > CACHE_CHARS]
+        self.mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.empty(1 << 20, self.kind)
+        self.used = 0
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _keep(self, words: list[str], ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
+        k, n = len(self.known), len(words)
+        while k + n > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[k : k + n], self.size[k : k + n] = begins + self.used, sizes
+        self.used += len(ids)
+        self.known.update(zip(words, range(k, k + n), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        alone = words if len(self.mark) != 1 else [w for w in words if len(w) > 200 or self._MARK in w]
+        if alone:
+            apart = set(alone)
+            words = [w for w in words if w not in apart]
+        groups = [words[k : k + GROUP] for k in range(0, len(words), GROUP)]
+        together = self.tokenizer.encode_batch_fast([f" {self._MARK} ".join([*g, ""]) for g in groups] + alone, add_special_tokens=False)
+        ids = np.array(list(chain.from_iterable(e.ids for e in together[: len(groups)])), self.kind)
+        ends = np.flatnonzero(ids == self.mark[0]) if groups else np.zeros(0, np.int64)
+        begins = np.concatenate(([0], ends[:-1] + 1)) if groups else ends
+        self._keep(words, ids, begins, ends - begins)
+        for word, e in zip(alone, together[len(groups) :], strict=True):
+            self._keep([word], np.array(e.ids, self.kind), np.zeros(1, np.int64), np.array([len(e.ids)]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and len(texts) + 1 offsets. A null text has none."""
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) + len(distinct) > CACHE_WORDS or self.used > CACHE_IDS:
+            self._forget()
+        slots = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(new := np.flatnonzero(slots < 0)):
+            new = [(k, distinct[k]) for k in new.tolist()]
+            self._learn([w for _, w in new])
+            for k, w in new:
+                slots[k] = self.known[w]
+        slots = slots[coded.indices.to_numpy()]
+        sizes = self.size[slots]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(self.begin[slots] - (ends - sizes), sizes)
+        offsets = np.asarray(words.offsets)
+        return self.ids[at], np.concatenate(([0], ends))[offsets - offsets[0]]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -87,7 +120,10 @@ def encoder(path: str) -> WordEncoder:
 class ShardWriter:
     def __init__(self, dictionary: bytes, width: int, level: int = 3):
         self.dictionary, self.width = dictionary, width
-        self.compress = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True).compress
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=level)
+        self.compress = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True).compress
         self.reset()
 
     def reset(self) -> None:
@@ -139,7 +175,8 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary from a bounded sample of serialized id arrays; none if there is too little to learn from."""
     own = encoder(path)
     texts = [r[0] for r in docs.where("length(text) > 0").select(F.expr("left(text, 8192)")).limit(SAMPLE_DOCS).collect()]
-    samples = [x for x in (own.encode(t)[: own.width * SAMPLE_IDS] for t in texts) if len(x) >= 8]
+    flat, offsets = own.encode(pa.array(texts, pa.string()))
+    samples = [x for x in (flat[a:b][:SAMPLE_IDS].tobytes() for a, b in pairwise(offsets.tolist())) if len(x) >= 8]
     total = sum(map(len, samples))
     if len(samples) < 16 or total < 4096:
         return b""
@@ -157,7 +194,7 @@ def write(docs: DataFrame, path: str, end_id: int, name: str = "tokens") -> Data
     texts. Texts are dealt by ranges of doc_id before they are encoded, so that nothing is encoded twice.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1000)
     rows = docs.select("doc_id", "text")
     shared = spark.sparkContext.broadcast(train_dictionary(rows, path))
     id_kind = rows.schema["doc_id"].dataType.simpleString()
@@ -180,8 +217,9 @@ def write(docs: DataFrame, path: str, end_id: int, name: str = "tokens") -> Data
             kind = batch.schema.field("doc_id").type
             if batch.num_rows:
                 part = batch.column("part")[0].as_py()
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                writer.add(own.encode(text.as_py()) + end)
+            flat, offsets = own.encode(batch.column("text"))
+            for doc, low, high in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                writer.add(flat[low:high].tobytes() + end)
                 ids.append(doc)
                 if writer.size >= SHARD_BYTES:
                     yield shard(kind)
