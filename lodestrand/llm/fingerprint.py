@@ -103,15 +103,16 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     text counts as empty. Of rows that share a doc_id, the one with the least text stands for it as a next document, and
     all have the same next. A row without a doc_id has no next: its edited text is its own, near_next is 0.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    links = following(own.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n")))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own, lost = every.where("doc_id is not null"), every.where("doc_id is null").withColumn("a", anchors(F.col("text")))
+    links = following(own.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")))
     links = links.select(F.col("doc_id").alias("for_id"), (F.col("n") / 4).cast("int").alias("need"), "next_id")
-    # one exchange of texts serves both joins
+    # one exchange of texts and anchors serves both joins: nothing may be filtered below only one of them
     marked = own.withColumn("a", anchors(F.col("text"))).repartition("doc_id")
-    alone = marked.withColumn("before", F.lag(F.lit(1)).over(Window.partitionBy("doc_id").orderBy("text"))).where("before is null and doc_id is not null")
+    alone = marked.withColumn("before", F.lag(F.lit(1)).over(Window.partitionBy("doc_id").orderBy("text"))).where("before is null")
     heads = alone.join(links, F.col("doc_id") == F.col("next_id")).select("for_id", F.expr("substring(text, 1, need)").alias("head"), F.col("a").alias("next_a"))
     n, r = F.length("text"), (F.length("text") / 4).cast("int")
-    joined = marked.join(heads, F.col("doc_id") == F.col("for_id"), "left")
+    joined = marked.join(heads, F.col("doc_id") == F.col("for_id"), "left").unionByName(lost, allowMissingColumns=True)
     edited = joined.withColumn("edited", F.when(F.col("for_id").isNull(), F.col("text")).otherwise(F.concat(F.substring("text", F.lit(1), n - r), F.substring("head", F.lit(1), r))))
     found = edited.withColumn("e", anchors(F.col("edited")))
     return found.select(
