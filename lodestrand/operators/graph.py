@@ -32,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
 def undirected(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) in both directions, without loops."""
     e = edges.select("src", "dst").where("src <> dst")
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return e.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).distinct()
 
 
 def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Edges are rewritten to stars around least neighbours, alternately from above and below; rounds grow with the
     logarithm of a component's size, not its diameter.
     """
-    own = cut(undirected(edges).where("src > dst"))
+    own = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     before = None
     while True:
         now = own.agg(F.count("*"), F.expr("bit_xor(xxhash64(src, dst))")).first()
@@ -154,7 +154,7 @@ def betweenness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
                         share[v] += paths[v] / paths[w] * (1 + share[w])
                     if w != s:
                         score[w] += share[w]
-        yield pd.DataFrame({"id": list(score), "s": list(score.values())})
+        yield pd.DataFrame({"id": pd.Series(list(score), dtype=object), "s": list(score.values())})
 
     parts = vertices.select("id").repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 4))).mapInPandas(through, f"id {kind}, s double")
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
@@ -209,7 +209,7 @@ def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             pieces = sorted([*below, *([rest] if v != root else [])], reverse=True)
             if len(pieces) > 1:
                 rows.append((v, key[0], len(pieces), pieces))
-        return pd.DataFrame(rows, columns=["id", "component", "pieces", "sizes"])
+        return pd.DataFrame(rows, columns=["id", "component", "pieces", "sizes"], dtype=object)
 
     return _per_component(vertices, edges).groupBy("component").applyInPandas(find, f"id {kind}, component {kind}, pieces int, sizes array<int>")
 
@@ -252,7 +252,7 @@ def communities(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         least: dict = {}
         for v, g in member.items():
             least[g] = min(least.get(g, v), v)
-        return pd.DataFrame({"id": list(member), "community": [least[g] for g in member.values()]})
+        return pd.DataFrame({"id": list(member), "community": [least[g] for g in member.values()]}, dtype=object)
 
     found = _per_component(vertices, edges).groupBy("component").applyInPandas(detect, f"id {kind}, community {kind}")
     return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
