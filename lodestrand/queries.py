@@ -537,3 +537,68 @@ def question_grounding(spark, sf):
     names_of = _t(spark, sf, "nation").select(F.col("n_name").alias("label"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
     asked = _t(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), F.col("text").alias("question"))
     return ground(asked, names_of)
+
+
+# --- the stages, over the sample tables as evidence
+
+
+def _evidence(spark, sf):
+    """Customers and suppliers as account records, order lines as payments between the accounts."""
+    holder = lambda t, key, name, kind: _t(spark, sf, t).select(F.concat(F.lit(t[0]), F.col(key).cast("string")).alias("id"), F.lit("bank_account_record").alias("item_type"), F.to_json(F.struct(F.concat(F.lit(t[0].upper()), F.col(key).cast("string")).alias("account"), F.col(name).alias("holderName"), F.lit(kind).alias("accountKind"))).alias("content"))
+    o, l = _t(spark, sf, "orders").select("o_orderkey", "o_custkey"), _t(spark, sf, "lineitem")
+    line = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    pay = F.struct(line.alias("txnRef"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("fromAccount"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("toAccount"), F.round(F.col("l_quantity") * 100).cast("long").alias("amount"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("valueDate"), F.lit("").alias("currency"))
+    paid = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(line.alias("id"), F.lit("financial_transaction_record").alias("item_type"), F.to_json(pay).alias("content"))
+    return holder("customer", "c_custkey", "c_name", "personal").unionByName(holder("supplier", "s_suppkey", "s_name", "business")).unionByName(paid)
+
+
+_HOLDERS = "h AS (SELECT 'c' || c_custkey AS id, 'C' || c_custkey AS account, c_name AS holder, 'personal' AS kind FROM customer UNION ALL SELECT 's' || s_suppkey, 'S' || s_suppkey, s_name, 'business' FROM supplier)"
+_PAID = "p AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'C' || o_custkey AS a, 'S' || l_suppkey AS b, round(l_quantity * 100)::BIGINT AS amount, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query(f"""WITH {_HOLDERS}, {_PAID}
+SELECT id AS item, 'entity_mention' AS record_type, 'account' AS field_path, 'bank_account_named' AS fact_type, NULL AS subject, account AS observed, NULL::DOUBLE AS amount FROM h
+UNION ALL SELECT id, 'attribute_mention', 'accountKind', 'account_kind', account, kind, NULL FROM h
+UNION ALL SELECT id, 'relationship_mention', 'holderName', 'account_held_by', account, holder, NULL FROM h
+UNION ALL SELECT id, 'entity_mention', 'holderName.person', 'person_named_as_holder', NULL, holder, NULL FROM h
+UNION ALL SELECT id, 'event_mention', '$', 'financial_transaction', NULL, NULL, amount::DOUBLE FROM p""")
+def extracted_facts(spark, sf):
+    from lodestrand.operators.extract import extract
+
+    f = extract(_evidence(spark, sf))
+    return f.select(F.col("evidence_item_id").alias("item"), "record_type", "field_path", "fact_type", "subject", "observed", "amount")
+
+
+@query("""
+WITH n AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2)
+SELECT 'c' || c_custkey AS item, CASE WHEN n > 1 THEN 'shared_identifier_merge' ELSE 'new_entity' END AS type, 'resolved' AS status, CASE WHEN n > 1 THEN 0.95 ELSE 1.0 END::DOUBLE AS confidence FROM customer JOIN n USING (c_nationkey, c_mktsegment)
+UNION ALL SELECT 's' || s_suppkey, CASE WHEN c_custkey IS NULL THEN 'unlinked_mention' WHEN s_suppkey % 2 = 0 THEN 'exact_name_match' ELSE 'normalized_name_match' END, CASE WHEN c_custkey IS NULL THEN 'unresolved' ELSE 'resolved' END, CASE WHEN c_custkey IS NULL THEN 0.5 WHEN s_suppkey % 2 = 0 THEN 0.6 ELSE 0.55 END::DOUBLE FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey""")
+def resolution_decisions(spark, sf):
+    """Customers that share an account (nation and segment) are one; suppliers written as customers match them by name."""
+    from lodestrand.operators.extract import extract
+    from lodestrand.operators.resolve import resolve
+
+    c, s = _t(spark, sf, "customer"), _t(spark, sf, "supplier")
+    as_item = lambda df, key, content: df.select(F.concat(F.lit(key[0]), F.col(key).cast("string")).alias("id"), F.lit("suspect_record").alias("item_type"), F.to_json(content).alias("content"))
+    named = F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))
+    items = as_item(c, "c_custkey", F.struct(F.col("c_name").alias("name"), F.array(F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment")).alias("accounts"))).unionByName(as_item(s, "s_suppkey", F.struct(F.when(F.col("s_suppkey") % 2 == 0, named).otherwise(F.concat(F.upper(named), F.lit(" Ltd."))).alias("name"))))
+    facts = graph.cut(extract(items))
+    d = resolve(facts)["decisions"].join(facts.select(F.col("id").alias("mention"), F.col("evidence_item_id").alias("item")), "mention")
+    return d.select("item", "type", "status", "confidence")
+
+
+@query(f"""WITH {_HOLDERS}, {_PAID}
+SELECT 'ownership' AS type, holder AS src, account AS dst, count(*) AS event_count, NULL::DOUBLE AS total_amount, NULL AS first_at, 'observed_fact' AS classification FROM h GROUP BY 2, 3
+UNION ALL SELECT 'financial', a, b, count(*), sum(amount)::DOUBLE, min(day), CASE WHEN count(DISTINCT id) >= 2 THEN 'corroborated_fact' ELSE 'observed_fact' END FROM p GROUP BY 2, 3
+UNION ALL SELECT 'financial', x.holder, y.holder, count(*), sum(amount)::DOUBLE, min(day), 'ai_inference' FROM p JOIN h x ON x.account = a JOIN h y ON y.account = b GROUP BY 2, 3""")
+def synthesized_edges(spark, sf):
+    """Accounts and payments as observed, holders' links as inferred from them."""
+    from lodestrand.operators.extract import extract
+    from lodestrand.operators.resolve import resolve
+    from lodestrand.operators.synthesize import synthesize
+
+    facts = graph.cut(extract(_evidence(spark, sf)))
+    found = {k: graph.cut(v) for k, v in resolve(facts).items()}
+    e = synthesize(facts, found, spark.createDataFrame([], "id string, label string, key string"))
+    name = lambda c: found["entities"].select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    return e.join(name("src"), "src").join(name("dst"), "dst").select("type", F.col("src_label").alias("src"), F.col("dst_label").alias("dst"), "event_count", "total_amount", "first_at", "classification")
