@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import ascii_lower, table
+from lodestrand.llm.common import ascii_lower, materialize, table
 
 #: (host, path, verdict) of each rule; the host's subdomains are included.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -102,7 +102,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: Sequence[tup
     else:
         counted = counted.withColumn("quality", F.lit(None).cast("int"))
     hosts = counted.groupBy("host").agg(F.sum(F.when(F.col("quality").isNotNull(), F.col("pages")).otherwise(0)).alias("n"), F.sum(F.when(F.col("quality") == 0, F.col("pages")).otherwise(0)).alias("k"))
-    known = reputation(hosts).select(F.col("host").alias("__host"), "bound")
+    known = reputation(materialize(hosts, "hosts")).select(F.col("host").alias("__host"), "bound")
     return own.join(known, F.col("host") == F.col("__host"), "left").select(
         "page_id", "host", "path", F.col("__rule.rule").alias("rule"),
         F.coalesce(F.col("__rule.verdict"), F.when(F.col("bound") > LIMIT, "block").otherwise("allow")).alias("verdict"),
