@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,17 +33,34 @@ SIZE, SPAN, CHUNK, NOISE = 16, 16, 4096, 24
 SCORED = 1024
 #: Updates that a task makes at least, going over its first chunks again.
 LEAST_UPDATES, KEPT_CHUNKS, RATE = 200, 64, 0.1
-#: Frequent tokens whose counts every task holds; entries of a task's partial counts before they are sent on.
-HEAD, FLUSH = 200_000, 400_000
+#: Frequent tokens whose counts every task holds at most (all that are as frequent, or none of them); entries of a task's partial counts before they are sent on.
+HEAD, FLUSH = 120_000, 150_000
 ADD = 0.1
 END = b""
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    """Words with A-Z lower-cased, then one end."""
-    words = text.lower().split() if text else []
-    words.append(END)
-    return words
+class Batch:
+    """Words of a batch of texts, A-Z lower-cased: each distinct one once, and which of them stands where."""
+
+    def __init__(self, texts: pa.Array):
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        coded = words.flatten().dictionary_encode()
+        self.distinct: list[bytes] = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        codes, real = coded.indices.to_numpy(), np.fromiter(map(len, self.distinct), np.int64, len(self.distinct)) > 0
+        offsets = np.asarray(words.offsets)
+        mask = real[codes]
+        self.sizes = np.diff(np.concatenate(([0], np.cumsum(mask)))[offsets - offsets[0]])
+        self.codes = codes[mask]
+
+    def with_ends(self, of_words: np.ndarray, end) -> np.ndarray:
+        """Values of the distinct words at each token, each text followed by ``end``."""
+        out = np.full(len(self.codes) + len(self.sizes), end, of_words.dtype)
+        out[np.arange(len(self.codes)) + np.repeat(np.arange(len(self.sizes)), self.sizes)] = of_words[self.codes]
+        return out
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(self.sizes + 1)[:-1])) if len(self.sizes) else np.zeros(0, np.int64)
 
 
 class Model:
@@ -128,7 +146,7 @@ class Model:
     def log10_probabilities(self, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Of each token's class given those before it in its text, normalised over all classes."""
         seq, where = self.padded(classes, starts)
-        out = np.empty(len(classes))
+        out, ones = np.empty(len(classes)), np.ones(len(self.Q), np.float32)
         for k in range(0, len(where), SCORED):
             at = where[k : k + SCORED]
             p, _ = self.predict(seq, at, int(at[0]))
@@ -136,7 +154,7 @@ class Model:
             logits += self.b
             own = logits[np.arange(len(at)), seq[at]].astype(np.float64)
             np.exp(logits, out=logits)
-            out[k : k + SCORED] = own - np.log(logits.sum(1, dtype=np.float64))
+            out[k : k + SCORED] = own - np.log((logits @ ones).astype(np.float64))
         return out / math.log(10)
 
 
@@ -150,6 +168,7 @@ class Lexicon:
         self.index = {t: k for k, (t, _) in enumerate(head)}
         self.classes = np.array([self.class_of(t) for t, _ in head] + [0], np.int32)
         self.log_count = np.array([math.log10(c + ADD) for _, c in head] + [0.0])
+        self.seen = np.array([c > 0 for _, c in head] + [False])
         n = len(words) + 1 + len(endings)
         self.n_class = np.array([totals.get(k, (0, 0))[0] for k in range(n)], np.int64)
         kinds = np.array([totals.get(k, (0, 0))[1] for k in range(n)], np.int64)
@@ -162,16 +181,24 @@ class Lexicon:
         k = self.words.get(token)
         return k if k is not None else self.endings.get(token[-2:], self.rest)
 
-    def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions in ``head`` (-1: not there) and classes of all tokens, and where each text starts."""
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(texts) else np.zeros(0, np.int64)
-        every = list(chain.from_iterable(texts))
-        found = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
+    def read(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``head`` (-1: not there) and classes of all tokens."""
+        found = np.fromiter(map(self.index.get, batch.distinct, repeat(-1)), np.int64, len(batch.distinct))
         classes = self.classes[found]
         for k in np.flatnonzero(found < 0).tolist():
-            classes[k] = self.class_of(every[k])
-        return found, classes, starts
+            classes[k] = self.class_of(batch.distinct[k])
+        return batch.with_ends(found, self.index.get(END, -1)), batch.with_ends(classes, self.words[END])
+
+
+def _tails(batch: Batch, lex: Lexicon) -> tuple[pa.Array, pa.Array]:
+    """Of each text: its distinct words that are not in the head, and how often each stands in it."""
+    missing = np.fromiter((w not in lex.index for w in batch.distinct), bool, len(batch.distinct))
+    at = np.flatnonzero(missing[batch.codes])
+    texts = np.repeat(np.arange(len(batch.sizes)), batch.sizes)[at]
+    keys, n = np.unique(texts * len(batch.distinct) + batch.codes[at], return_counts=True)
+    offsets = pa.array(np.searchsorted(keys, np.arange(len(batch.sizes) + 1) * len(batch.distinct)), pa.int32())
+    words = pa.array(batch.distinct, pa.binary()).take(pa.array(keys % max(1, len(batch.distinct))))
+    return pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))
 
 
 def held_out() -> Column:
@@ -191,17 +218,29 @@ def token_counts(train: DataFrame) -> DataFrame:
             return row
 
         for batch in batches:
-            for body in batch.column("body"):
-                held.update(tokens_of(body.as_py()))
+            own = Batch(batch.column("body"))
+            counts = np.bincount(own.codes, minlength=len(own.distinct)).tolist()
+            for word, n in zip(own.distinct, counts, strict=True):
+                if n:
+                    held[word] += n
+            held[END] += batch.num_rows
             if len(held) >= FLUSH:
                 yield sent()
         yield sent()
+        pa.default_memory_pool().release_unused()
 
     return train.select("body").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
 def lexicon(counts: DataFrame, head: int = HEAD) -> Lexicon:
-    top = [(bytes(r["token"]), r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(head).collect()]
+    so_far, least = 0, 1 << 62
+    for c, n in sorted(((r["c"], r["n"]) for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True):  # a row for each count
+        if so_far + n > head:
+            break
+        so_far, least = so_far + n, c
+    top = sorted(((bytes(r["token"]), r["c"]) for r in counts.where(F.col("c") >= least).collect()), key=lambda t: (-t[1], t[0]))
+    if END not in dict(top):  # its count is always at hand
+        top.append((END, sum(r["c"] for r in counts.where(F.col("token") == F.lit(bytearray(END))).collect())))
     words = [END, *[t for t, _ in top if t != END][: WORDS - 1]]
     own = counts.sparkSession.createDataFrame([(w, k) for k, w in enumerate(words)], "token binary, word int")
     known = counts.join(F.broadcast(own), "token", "left").withColumn("ending", F.expr("substring(token, greatest(1, length(token) - 1), 2)"))
@@ -211,7 +250,7 @@ def lexicon(counts: DataFrame, head: int = HEAD) -> Lexicon:
     totals = {len(words) + 1 + k: (n, kinds) for k, (_, n, kinds) in enumerate(rows[: ENDINGS - 1])}
     totals[len(words)] = (sum(r[1] for r in rows[ENDINGS - 1 :]), sum(r[2] for r in rows[ENDINGS - 1 :]))
     counted = dict(top)
-    totals |= {k: (counted[w], 1) for k, w in enumerate(words) if w in counted}
+    totals |= {k: (counted[w], int(counted[w] > 0)) for k, w in enumerate(words)}
     return Lexicon(top, words, endings, totals)
 
 
@@ -223,13 +262,12 @@ def train_model(train: DataFrame, lex) -> Model:
         own, model = lex.value, Model(lex.value.n_class)
         r = np.random.default_rng(11)
         kept, updates, tokens = [], 0, 0
-        waiting: list[list[bytes]] = []
-        size = 0
 
-        def steps(texts):
-            nonlocal updates, tokens
-            _, classes, starts = own.read(texts)
-            seq, where = model.padded(classes, starts)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            read = Batch(batch.column("body"))
+            seq, where = model.padded(own.read(read)[1], read.starts)
             tokens += len(where)
             for k in range(0, len(where), CHUNK):
                 at = where[k : k + CHUNK]
@@ -238,16 +276,6 @@ def train_model(train: DataFrame, lex) -> Model:
                 if len(kept) < KEPT_CHUNKS:
                     low = int(at[0]) - SPAN
                     kept.append((seq[low : at[-1] + 1].copy(), at - low))
-
-        for batch in batches:
-            for body in batch.column("body"):
-                waiting.append(tokens_of(body.as_py()))
-                size += len(waiting[-1])
-                if size >= 4 * CHUNK:
-                    steps(waiting)
-                    waiting, size = [], 0
-        if waiting:
-            steps(waiting)
         while kept and updates < LEAST_UPDATES:
             for seq, at in kept:
                 model.update(seq, at, r)
@@ -278,7 +306,7 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("body"), held_out().alias("held_out"))
+    rows = docs.select("doc_id", F.col("text").alias("body"), held_out().alias("held_out"))
     train = rows.where("not held_out")
     counts = materialize(token_counts(train), "counts")
     lex = spark.sparkContext.broadcast(lexicon(counts, head))
@@ -290,28 +318,25 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = [tokens_of(x.as_py()) for x in batch.column("body")]
-            found, classes, starts = own.read(texts)
+            read = Batch(batch.column("body"))
+            found, classes = own.read(read)
+            starts, sizes = read.starts, read.sizes + 1
             rare = ~own.single[classes]
-            by_class = lm.log10_probabilities(classes, starts) - np.where(rare, own.log_class[classes], 0)
-            by_class += np.where(rare, own.log_count[found], 0)
+            by_class = lm.log10_probabilities(classes, starts)
+            by_class += np.where(rare, own.log_count[found] - own.log_class[classes], 0)
             base = own.log_count[found] - own.log_all
-            tails = []
-            for k, text in enumerate(texts):
-                unknown = np.flatnonzero(found[starts[k] : starts[k] + len(text)] < 0).tolist()
-                tails.append(Counter([text[i] for i in unknown]) if unknown else {})
-            n = len(texts)
+            n = len(sizes)
+            tails = _tails(read, own)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(n_row, n_row + n), pa.int64()),
                     batch.column("doc_id"),
                     batch.column("held_out"),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array(np.add.reduceat((found >= 0).astype(np.int64), starts)),
+                    pa.array(sizes),
+                    pa.array(np.add.reduceat(own.seen[found].astype(np.int64), starts)),
                     pa.array(np.add.reduceat(base, starts)),
                     pa.array(np.add.reduceat(by_class, starts)),
-                    pa.array([list(t) for t in tails], pa.list_(pa.binary())),
-                    pa.array([list(t.values()) for t in tails], pa.list_(pa.int64())),
+                    *tails,
                 ],
                 names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "tail_n"],
             )
@@ -319,12 +344,15 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
 
     kind = f"row long, doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<binary>, tail_n array<bigint>"
     scored = materialize(rows.mapInArrow(run, kind), "scored")
+    tokens = lex.value.tokens
+    lex.destroy()  # so that reused Python workers drop their copies
+    model.destroy()
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.tail_n").alias("n"))
     met = tail.join(counts, "token", "left").groupBy("row").agg(F.sum(F.expr(f"n * log10(coalesce(c, 0) + {ADD}D)")).alias("more"), F.sum(F.expr("if(c > 0, n, 0)")).alias("known"))
     return scored.drop("tail", "tail_n").join(met, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(lex.value.tokens).cast("long").alias("train_tokens"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
