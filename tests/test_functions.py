@@ -55,3 +55,13 @@ def test_small_functions(spark):
         numbers.implied_speed(F.lit(5), F.lit(0)), numbers.haversine_m(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)), ids.content_id("x", F.lit(" A "), F.lit(1)) == ids.content_id("x", F.lit("a"), F.lit(1)), ids.content_id("x", F.lit("a"), F.lit("b")) == ids.content_id("x", F.lit("ab"), F.lit("")),
     ).first()
     assert tuple(row) == ("cyrillic", "unknown", "bc", True, 2, False, -2, 3, float("inf"), 111195, True, False)
+
+
+def test_variations(spark):
+    from lodestrand.functions import variation
+
+    cases = [("A", "A", "identical"), ("Acme", "ACME ", "case_only"), ("Тест", "Test", "transliteration"), ("Acme Ltd", "Acme Inc", "suffix"), ("Kumar Ravi", "Ravi Kumar", "name_order"), ("Big Steel", "BS", "abbreviation"), ("One", "Other", "divergent")]
+    df = spark.createDataFrame(cases, "a string, b string, want string")
+    assert all(r.got == r.want for r in df.select("want", variation.variation(F.col("a"), F.col("b")).alias("got")).collect())
+    row = spark.range(1).select(variation.latin(F.lit("राम")), variation.latin(F.lit("स्टील x")), variation.study_rules(F.lit("The Acme"), F.lit("Acme India"), ["india"]), variation.suffix_only(F.lit("A Ltd"), F.lit("A Inc"))).first()
+    assert (row[0], row[1], row[3]) == ("raama", "steela x", True) and "subset" not in row[2]

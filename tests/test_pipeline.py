@@ -103,3 +103,25 @@ def test_metrics(spark):
     assert none["value"] is None and "n/a" in evaluate.report([none])
     aligned = evaluate.align(spark.createDataFrame([("m", "rec:12:3", "N")], "mention string, ref string, name string"), spark.createDataFrame([("rec:1", "N", "no"), ("rec:12", "Z", "a"), ("rec:12", "N", "b")], "ref string, name string, entity_key string"))
     assert aligned.first().entity_key == "b"
+
+
+def test_answers_cite_and_never_choose(engine):
+    from lodestrand.plans import answers
+
+    for question, intent in (("Is there a money trail from Person A0 to Person B1?", "financial_path"), ("Who are the suspects?", "suspects_overview"), ("Which places contradict each other?", "contradictions"), ("Tell me about Person C2", "entity_profile"), ("Who has the key structural role?", "structural_significance")):
+        got = answers.ask(engine, question)
+        assert got["intent"] == intent and answers.astray(engine, got["claims"]) == []
+        assert got["status"] == ("answered" if got["claims"] else "no_evidence") and (got["claims"] or got["warnings"])
+        assert all(f"[{c['id']}]" in got["text"] for c in got["claims"])
+    assert answers.ask(engine, "What of person?")["status"] == "ambiguous"
+    assert len(answers.suggestions(engine)) == 2
+    said = engine.spark.createDataFrame([("a", "He definitely paid on 2025-01-02 to entity_0123456789abcdef", "paid on 2025-01-02"), ("b", "fine", "")], "id string, text string, support string")
+    found = {r.id: r for r in answers.violations(said).collect()}
+    assert found["a"].banned == ["definitely"] and found["a"].unsupported == ["entity_0123456789abcdef"] and not found["b"].banned
+
+
+def test_corpus_checks(engine, spark):
+    from lodestrand.sources.validate import validate
+
+    rows = validate(manifest.load(spark, engine.path)).collect()
+    assert len(rows) == 16 and all(r.ok for r in rows)
