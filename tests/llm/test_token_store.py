@@ -57,3 +57,12 @@ def test_written_and_read_back(spark, monkeypatch):
         start += len(ids)
     assert [tuple(r) for r in got] == want
     assert ts.read(ts.write(df.limit(0), PATH, 1)).count() == 0
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr(ts, "CACHE_WORDS", 60)
+    monkeypatch.setattr(ts, "CACHE_KEPT", 20)
+    own = ts.WordEncoder(PATH)
+    for text in _texts() * 2:
+        flat, _ = own.encode(pa.array([text, text + " common words"]))
+        assert flat.tolist() == _plain(text) + _plain(text + " common words")
