@@ -55,11 +55,33 @@ def confusion(scored: DataFrame, threshold: float) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", *[half_up(x, 6).alias(n) for n, x in (("precision", F.col("precision")), ("recall", F.col("recall")), ("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0)), ("false_merge_rate", ratio(F.col("fp"), F.col("fp") + F.col("tn"), 0.0)), ("false_split_rate", ratio(F.col("fn"), F.col("fn") + F.col("tp"), 0.0)))])
 
 
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` and, for each of ``sums``, its total over all rows up to and including this one in ``order`` (a total order).
+
+    Rows are dealt by ranges of the order, summed within their range, and shifted by the sums of the ranges before: no
+    task holds more than a range, and only a row for each range goes through one task.
+    """
+    from lodestrand.operators.graph import cut
+
+    names = list(sums)
+    dealt = cut(df.withColumns({f"__{n}": c for n, c in sums.items()}).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("__part").agg(*[F.sum(f"__{n}").alias(n) for n in names])
+    shift = ranges.select("__part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__b_{n}") for n in names])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dealt.join(F.broadcast(shift), "__part")
+    return out.select(*df.columns, *[(F.sum(f"__{n}").over(inside) + F.col(f"__b_{n}")).alias(n) for n in names])
+
+
 def _tie_groups(scored: DataFrame) -> DataFrame:
-    """Positives and negatives of each score and of all higher ones; one row a distinct score goes through the window."""
+    """Positives p and negatives n of each score, and tp and fp of it and all higher ones."""
     g = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).cast("double").alias("p"), F.count_if(F.col("label") == 0).cast("double").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
+    return running_sums(g, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n"), "place": F.lit(1)})
+
+
+def _totals(groups: DataFrame) -> DataFrame:
+    """One row: all positives, negatives and distinct scores."""
+    return groups.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("all_p"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("all_n"), F.count("*").alias("len"))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
@@ -72,22 +94,20 @@ def roc_auc(scored: DataFrame) -> DataFrame:
 def pr_auc(scored: DataFrame) -> DataFrame:
     """Area under precision over recall by trapezoids between groups of equal scores, from (0, 1); NaN without positives."""
     g = _tie_groups(scored)
-    total = Window.partitionBy()
-    w = Window.orderBy(F.desc("score"))
-    points = g.withColumn("all", F.sum("p").over(total)).withColumn("r", F.col("tp") / F.col("all")).withColumn("q", F.col("tp") / (F.col("tp") + F.col("fp")))
-    area = points.select((F.col("r") - F.coalesce(F.lag("r").over(w), F.lit(0.0))) * (F.col("q") + F.coalesce(F.lag("q").over(w), F.lit(1.0))) / 2)
-    return area.toDF("a").agg(half_up(F.sum("a"), 6).alias("a")).select(F.coalesce("a", F.lit(float("nan"))).alias("pr_auc"))
+    points = g.crossJoin(F.broadcast(_totals(g))).where("all_p > 0")  # one row
+    above = F.col("tp") - F.col("p") + F.col("fp") - F.col("n")
+    before = F.when(above > 0, (F.col("tp") - F.col("p")) / above).otherwise(F.lit(1.0))
+    area = points.agg(F.sum(F.col("p") / F.col("all_p") * (F.col("tp") / (F.col("tp") + F.col("fp")) + before) / 2).alias("a"))
+    return area.select(F.coalesce(half_up(F.col("a"), 6), F.lit(float("nan"))).alias("pr_auc"))
 
 
 def threshold_selection(scored: DataFrame, ceiling: float, limit: int = 400) -> DataFrame:
     """One row (threshold, f1, false_merge_rate, feasible): best F1 among thresholds whose false-merge rate stays within
     ``ceiling``, the lowest of equal ones; without such a threshold the best of all. Distinct scores, at most ``limit`` by stride."""
     g = _tie_groups(scored)
-    t = g.withColumn("k", F.row_number().over(Window.orderBy("score")) - 1).withColumn("len", F.count("*").over(Window.partitionBy()))
-    picked = F.when(F.col("len") <= limit, True).otherwise(F.floor(F.ceil(F.col("k") * limit / F.col("len")) * F.col("len") / limit) == F.col("k"))
-    all_p, all_n = F.sum("p").over(Window.partitionBy()), F.sum("n").over(Window.partitionBy())
-    m = t.withColumn("P", all_p).withColumn("N", all_n).where(picked)
-    m = m.withColumn("f1", ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P"), 0.0)).withColumn("fmr", ratio(F.col("fp"), F.col("N"), 0.0))
+    t = g.crossJoin(F.broadcast(_totals(g))).withColumn("k", F.col("len") - F.col("place"))  # one row; k counts from the lowest
+    picked = (F.col("len") <= limit) | (F.floor(F.ceil(F.col("k") * limit / F.col("len")) * F.col("len") / limit) == F.col("k"))
+    m = t.where(picked).withColumn("f1", ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all_p"), 0.0)).withColumn("fmr", ratio(F.col("fp"), F.col("all_n"), 0.0))
     best = m.agg(F.max_by(F.struct(F.col("score").alias("threshold"), "f1", "fmr", (F.col("fmr") <= ceiling).alias("feasible")), F.struct((F.col("fmr") <= ceiling).alias("ok"), half_up(F.col("f1"), 12), -F.col("score"))).alias("b"))
     return best.select("b.threshold", half_up(F.col("b.f1"), 6).alias("f1"), half_up(F.col("b.fmr"), 6).alias("false_merge_rate"), "b.feasible")
 

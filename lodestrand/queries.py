@@ -233,12 +233,7 @@ def _revenue(spark, sf):
 @query(f"WITH {_REVENUE} SELECT o_custkey, cents, row_number() OVER (ORDER BY cents DESC, o_custkey) AS rank FROM rev")
 def ranking_total_order(spark, sf):
     """Every customer's rank: a global order, reached by ranges rather than in one task."""
-    r = _revenue(spark, sf).repartitionByRange(F.desc("cents"), "o_custkey").withColumn("part", F.spark_partition_id())
-    r = graph.cut(r)
-    sizes = r.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")  # a row for each range
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("cents"), "o_custkey"))
-    return r.withColumn("k", inside).join(F.broadcast(before), "part").select("o_custkey", "cents", (F.col("k") + F.col("before")).alias("rank"))
+    return aggregates.running_sums(_revenue(spark, sf), [F.desc("cents"), F.col("o_custkey")], {"rank": F.lit(1)})
 
 
 @query(f"WITH {_REVENUE} SELECT c_nationkey, o_custkey, cents, rank FROM (SELECT c_nationkey, o_custkey, cents, row_number() OVER (PARTITION BY c_nationkey ORDER BY cents DESC, o_custkey) AS rank FROM rev JOIN customer ON c_custkey = o_custkey) WHERE rank <= 12")
