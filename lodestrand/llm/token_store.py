@@ -30,7 +30,9 @@ SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1_000, 2_048, 65_536
 #: A shard is closed beyond so many bytes of frames.
 SHARD_BYTES = 1 << 20
 #: Words that one Python worker remembers, and their ids in all; new words that are encoded together.
-CACHE_WORDS, CACHE_IDS, GROUP = 400_000, 4_000_000, 256
+CACHE_WORDS, CACHE_IDS, GROUP = 360_000, 3_000_000, 256
+#: Of these, so many that most batches had are kept when the others are forgotten.
+CACHE_KEPT = 120_000
 _HEAD = struct.Struct("<32sBII")
 
 
@@ -58,12 +60,20 @@ class WordEncoder:
         self.known: dict[str, int] = {}
         self.ids = np.empty(1 << 20, self.kind)
         self.used = 0
-        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.begin, self.size, self.seen = (np.zeros(1 << 16, np.int64) for _ in range(3))
+
+    def _forget_rare(self) -> None:
+        words, ids, begin, size, seen = list(self.known), self.ids, self.begin, self.size, self.seen[: len(self.known)]
+        best = np.sort(np.argsort(-seen, kind="stable")[:CACHE_KEPT])
+        best = best[size[best] <= 64]
+        at = np.arange(int(size[best].sum())) + np.repeat(begin[best] - (np.cumsum(size[best]) - size[best]), size[best])
+        self._forget()
+        self._keep([words[k] for k in best.tolist()], ids[at], np.cumsum(size[best]) - size[best], size[best])
 
     def _keep(self, words: list[str], ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
         k, n = len(self.known), len(words)
         while k + n > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+            self.begin, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.seen))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
@@ -87,17 +97,20 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and len(texts) + 1 offsets. A null text has none."""
-        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        # the tokenizer lower-cases, and always parts a letter from a mark after it: either way the ids are the same
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts.fill_null("")), r"(\p{L})([.,;:!?|])", r"\1 \2")
+        words = pc.ascii_split_whitespace(plain)
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(distinct) > CACHE_WORDS or self.used > CACHE_IDS:
-            self._forget()
+            self._forget_rare()
         slots = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
         if len(new := np.flatnonzero(slots < 0)):
             new = [(k, distinct[k]) for k in new.tolist()]
             self._learn([w for _, w in new])
             for k, w in new:
                 slots[k] = self.known[w]
+        self.seen[slots] += 1
         slots = slots[coded.indices.to_numpy()]
         sizes = self.size[slots]
         ends = np.cumsum(sizes)
@@ -194,7 +207,7 @@ def write(docs: DataFrame, path: str, end_id: int, name: str = "tokens") -> Data
     texts. Texts are dealt by ranges of doc_id before they are encoded, so that nothing is encoded twice.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark, 600)
     rows = docs.select("doc_id", "text")
     shared = spark.sparkContext.broadcast(train_dictionary(rows, path))
     id_kind = rows.schema["doc_id"].dataType.simpleString()
