@@ -202,8 +202,8 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
 def write(docs: DataFrame, path: str, end_id: int, name: str = "tokens") -> DataFrame:
     """Encode every text, append ``end_id``, write shards in ascending doc_id order; the table of shards, reread.
 
-    Columns: part int, seq int (their order is the order of documents), doc_ids array, shard binary, n_ids long. A null
-    text counts as empty (the end id alone). Null doc_ids come first; rows that share a doc_id keep the order of their
+    Columns: part int, seq int (their order is the order of documents), doc_ids array, shard binary, n_ids long, before long
+    (ids of the part's shards before this one). A null text counts as empty (the end id alone). Null doc_ids come first; rows that share a doc_id keep the order of their
     texts. Texts are dealt by ranges of doc_id before they are encoded, so that nothing is encoded twice.
     """
     spark = docs.sparkSession
@@ -211,18 +211,18 @@ def write(docs: DataFrame, path: str, end_id: int, name: str = "tokens") -> Data
     rows = docs.select("doc_id", "text")
     shared = spark.sparkContext.broadcast(train_dictionary(rows, path))
     id_kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"part int, seq int, doc_ids array<{id_kind}>, shard binary, n_ids long"
+    schema = f"part int, seq int, doc_ids array<{id_kind}>, shard binary, n_ids long, before long"
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         writer, end = ShardWriter(shared.value, own.width), np.array([end_id], own.kind).tobytes()
-        part, seq, ids = None, 0, []
+        part, seq, ids, before = None, 0, [], 0
 
         def shard(kind):
-            nonlocal seq, ids
+            nonlocal seq, ids, before
             n = writer.ids
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(kind)), pa.array([writer.close()], pa.binary()), pa.array([n], pa.int64())], names=["part", "seq", "doc_ids", "shard", "n_ids"])
-            seq, ids = seq + 1, []
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(kind)), pa.array([writer.close()], pa.binary()), pa.array([n], pa.int64()), pa.array([before], pa.int64())], names=["part", "seq", "doc_ids", "shard", "n_ids", "before"])
+            seq, ids, before = seq + 1, [], before + n
             return row
 
         kind = None
@@ -246,16 +246,15 @@ def write(docs: DataFrame, path: str, end_id: int, name: str = "tokens") -> Data
 def read(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the shards.
 
-    ``start`` counts the ids of all documents before: of the shards before (one number a shard, gathered by the
-    driver), then by the shard's own index.
+    ``start`` counts the ids of all documents before: of the parts before (one number for each range of doc_ids, gathered
+    by the driver), of the part's shards before, and by the shard's own index. Shards are decoded where they are read.
     """
     spark = shards.sparkSession
-    totals = sorted((r["part"], r["seq"], r["n_ids"]) for r in shards.select("part", "seq", "n_ids").toLocalIterator())
-    before, so_far = [], 0
-    for part, seq, n in totals:
-        before.append((part, seq, so_far))
-        so_far += n
-    starts = spark.createDataFrame(before, "part int, seq int, before long")
+    parts, so_far = [], 0
+    for r in sorted(shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
+        parts.append((r["part"], so_far))
+        so_far += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(parts, "part int, offset long"))
     id_kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches):
@@ -273,7 +272,8 @@ def read(shards: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.join(starts, ["part", "seq"]).select("doc_ids", "shard", "before").mapInArrow(run, f"doc_id {id_kind}, start long, n_tokens long, ids_crc32 long")
+    placed = shards.join(offsets, "part").select("doc_ids", "shard", (F.col("offset") + F.col("before")).alias("before"))
+    return placed.mapInArrow(run, f"doc_id {id_kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
