@@ -176,7 +176,7 @@ def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component, pieces, sizes): vertices whose removal splits their component, into how many and how large pieces."""
     kind = vertices.schema["id"].dataType.simpleString()
 
-    def find(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         adjacent = defaultdict(list)
         for a, b in zip(pdf["src"], pdf["dst"], strict=True):
             adjacent[a].append(b)

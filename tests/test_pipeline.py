@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.operators import corroborate, extract, resolve
+from lodestrand.operators import corroborate, extract, graph, resolve
 from lodestrand.plans import dossier, evaluate, read_api
 from lodestrand.plans.engine import Engine
 from lodestrand.sources import manifest, synthetic
@@ -75,9 +75,10 @@ def test_extractors_take_what_is_there(spark):
 def test_resolution_never_forces(spark):
     org = lambda ref, name, *leis: ("public_record", {"registry": "R", "registryRecordId": ref, "name": name, "subjectKind": "organisation", "license": "L", "sourceUrl": "u", "identifiers": [{"scheme": "LEI", "value": v} for v in leis]})
     items = _items(spark, org("1", "Acme Ltd", "X1"), org("2", "Acme Limited", "X1"), org("3", "Twin Co", "X2"), org("4", "Twin Co", "X3"), org("5", "Twin Co"), org("6", "ACME"), org("7", "Acme Ltd"), org("8", "Torn", "X4", "X5"), org("9", "Alone"))
-    out = resolve.resolve(extract.extract(items))
+    facts = graph.cut(extract.extract(items))
+    out = resolve.resolve(facts)
     named = {r.mention: r for r in out["decisions"].collect()}
-    by_item = {r.evidence_item_id: named[r.id] for r in extract.extract(items).where("record_type = 'entity_mention'").collect()}
+    by_item = {r.evidence_item_id: named[r.id] for r in facts.where("record_type = 'entity_mention'").collect()}
     kinds = {k: v.type for k, v in by_item.items()}
     assert by_item["i0"].entity_id == by_item["i1"].entity_id and kinds["i0"] == "shared_identifier_merge"
     assert by_item["i2"].entity_id != by_item["i3"].entity_id and kinds["i2"] == "new_entity"
