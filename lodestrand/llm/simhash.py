@@ -31,20 +31,24 @@ def covering_masks(copies: int = 1, bits: int = BITS, radius: int = RADIUS) -> l
     return [sum(1 << i for i in range(bits) if any((x & v).bit_count() & 1 for x in vectors[i])) for v in range(1, space)]
 
 
+def hashes_of(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes (uint64) of each run of ``width`` words, of the whole if there are not more."""
+    joined = b" ".join(words)
+    hashed = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([hashed(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    spans = zip(starts[: 1 - width].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)
+    return np.fromiter((hashed(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
+
+
 def fingerprint(text: bytes | None) -> int:
     """Bit b is 1 if set in over half of the shingles' hashes; no words: 0. Signed, as Spark holds it."""
     words = text.lower().split() if text else []
     if not words:
         return 0
-    joined = b" ".join(words)
-    hashed = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        hashes = np.array([hashed(joined, SEED)], ">u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))
-        spans = zip(starts[: 1 - SHINGLE].tolist(), (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)
-        hashes = np.fromiter((hashed(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - SHINGLE + 1).astype(">u8")
+    hashes = hashes_of(words, SHINGLE).astype(">u8")
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.uint32)
@@ -122,8 +126,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that of the least doc_id.
+def keep_one(docs: DataFrame, find=near_duplicates) -> DataFrame:
+    """``docs`` with one document of each component that ``find`` gives: that of the least doc_id.
 
     Of rows that share this doc_id the one with the least text stays. Rows without a doc_id stay. The columns are those
     of ``docs``.
@@ -131,7 +135,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     names = docs.columns
-    found = near_duplicates(docs.select("doc_id", "text"))
+    found = find(docs.select("doc_id", "text"))
     first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.lit(1).alias("one")).select(F.col("doc_id").alias("__doc"))
     kept = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("__doc"))
     once = kept.withColumn("__k", F.row_number().over(Window.partitionBy("__doc").orderBy("text"))).where("__k = 1")
