@@ -60,13 +60,17 @@ def features(pairs: DataFrame, idf: dict[str, float] | None = None, structural:
 
 
 def candidates(records: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(ref_a, ref_b, block) of (ref, name): records that share a normalised name or its first word; and the blocks too
-    large to pair (block, members), which are returned rather than dropped in silence."""
+    """(ref_a, ref_b, block) of (ref, name): all records that share a normalised name or its first word; and the blocks of
+    more than ``most`` records (block, members). These are dealt into parts that meet part by part, so that no task takes
+    a whole block; their pairs are made like all others."""
     n = names.normalize_name(F.col("name"))
     keyed = records.select("ref", F.explode(F.array(F.concat(F.lit("n:"), n), F.concat(F.lit("w:"), F.split_part(n, F.lit(" "), F.lit(1))))).alias("block")).where("length(block) > 2").distinct()
     sizes = keyed.groupBy("block").agg(F.count("*").alias("members"))
-    fine = keyed.join(sizes.where((F.col("members") > 1) & (F.col("members") <= most)).select("block"), "block")
-    p = fine.select("block", F.col("ref").alias("ref_a")).join(fine.select("block", F.col("ref").alias("ref_b")), "block").where("ref_a < ref_b")
+    parts = sizes.where("members > 1").select("block", F.ceil(F.col("members") / most).cast("int").alias("parts"))
+    dealt = keyed.join(parts, "block").withColumn("part", F.expr("cast(pmod(xxhash64(ref), parts) as int)"))
+    one = dealt.select("block", F.col("ref").alias("x"), F.col("part").alias("p"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("q"))
+    two = dealt.select("block", F.col("ref").alias("y"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("p"), F.col("part").alias("q"))
+    p = one.join(two, ["block", "p", "q"]).where("p < q or x < y").select(F.least("x", "y").alias("ref_a"), F.greatest("x", "y").alias("ref_b"), "block")
     return p.groupBy("ref_a", "ref_b").agg(F.min("block").alias("block")), sizes.where(F.col("members") > most)
 
 

@@ -159,3 +159,12 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert store.read("acts").count() == 3
+
+
+def test_large_blocks_make_all_pairs(spark):
+    rows = [(f"r{k:03}", f"Bank {k}") for k in range(230)] + [("s1", "Tata Steel"), ("s2", "Tata Foods")]
+    found, large = pairs.candidates(spark.createDataFrame(rows, "ref string, name string"))
+    got = [(c.ref_a, c.ref_b) for c in found.collect()]
+    banks = [r for r, _ in rows[:230]]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in banks for b in banks if a < b} | {("s1", "s2")}
+    assert [(b.block, b.members) for b in large.collect()] == [("w:bank", 230)]
