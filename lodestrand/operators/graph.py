@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -80,14 +81,14 @@ def degree_centrality(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select("id", half_up(F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1)).otherwise(F.lit(0.0)), 6).alias("centrality"))
 
 
-def hops(edges: DataFrame, sources: DataFrame, types: Sequence[str] | None = None, most: int = 50) -> DataFrame:
+def hops(edges: DataFrame, sources: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
     """(source, id, hops, previous): breadth-first distances from each of ``sources`` (id), ignoring direction.
 
     ``previous`` is the least neighbour that is one hop nearer. Only the frontier is joined in each round.
     """
     e = cut(undirected(edges.where(F.col("type").isin(list(types))) if types else edges))
     known = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops"), F.lit(None).cast(sources.schema["id"].dataType).alias("previous")))
-    for k in range(1, most + 1):
+    for k in count(1):
         front = known.where(F.col("hops") == k - 1).select("source", F.col("id").alias("src"))
         new = front.join(e, "src").groupBy("source", F.col("dst").alias("id")).agg(F.min("src").alias("previous")).join(known.select("source", "id"), ["source", "id"], "left_anti")
         new = cut(new.select("source", "id", F.lit(k).alias("hops"), "previous"))

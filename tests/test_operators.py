@@ -168,3 +168,9 @@ def test_large_blocks_make_all_pairs(spark):
     banks = [r for r, _ in rows[:230]]
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a in banks for b in banks if a < b} | {("s1", "s2")}
     assert [(b.block, b.members) for b in large.collect()] == [("w:bank", 230)]
+
+
+def test_paths_of_more_than_fifty_edges(spark):
+    chain = spark.createDataFrame([(k, k + 1, "t") for k in range(53)], "src long, dst long, type string")
+    found = graph.hops(chain, spark.createDataFrame([(0,)], "id long"))
+    assert {r.id: r.hops for r in found.collect()} == {k: k for k in range(54)}
