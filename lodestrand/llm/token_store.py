@@ -1,9 +1,9 @@
 """Token ids in binary shards: each document compressed alone with one shared zstandard dictionary.
 
-A shard is bytes: ``MAGIC``, the SHA-256 of the dictionary, the dictionary's size and the dictionary, the count of
-documents, an index of (end offset of the frame, ids so far) for each, then the frames. Ids are little-endian, 2 bytes
-wide if the vocabulary has at most 65,536 ids, else 4. One document is read with the index and one frame.
-Shards lie in a table of the shared folder (one row each), since Spark's writers reach every file system.
+A shard is bytes: ``MAGIC``, the SHA-256 of the dictionary, the count of documents, an index of (end offset of the frame,
+ids so far) for each, then the frames. Ids are little-endian, 2 bytes wide if the vocabulary has at most 65,536 ids, else
+4. One document is read with the index and one frame. Shards lie in a table (one row each), since Spark's writers reach
+every file system; the dictionary lies once beside it, and a shard that names another one is refused.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain, pairwise, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +24,29 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import materialize, small_batches, table
+from lodestrand.llm.common import shared_dir, small_batches, table
 
 MAGIC = b"LTOK1\n"
-#: The dictionary is trained on at most so many documents, of each so many ids, to at most so many bytes.
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1_000, 2_048, 65_536
+#: The dictionary is trained on about so many documents (twice as many at most), chosen by a hash of doc_id, on so many
+#: characters from anywhere in each, of these so many ids, to at most so many bytes.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_IDS, DICTIONARY_BYTES = 1_000, 8_192, 2_048, 65_536
 #: A shard is closed beyond so many bytes of frames.
 SHARD_BYTES = 1 << 20
 #: Words that one Python worker remembers, and their ids in all; new words that are encoded together.
 CACHE_WORDS, CACHE_IDS, GROUP = 360_000, 3_000_000, 256
 #: Of these, so many that most batches had are kept when the others are forgotten.
 CACHE_KEPT = 120_000
-_HEAD = struct.Struct("<32sBII")
+#: Letters that stay letters when lower-cased and composed (U+0130, say, becomes a letter and a mark), and marks that no
+#: pretoken holds together with a letter before them.
+_LETTER_THEN_MARK = r"([a-zÀ-ÖØ-öø-ÿ])([.,;:!?|])"
+_HEAD = struct.Struct("<32sBI")
 
 
 class WordEncoder:
     """A tokenizer whose white space only separates: words between ASCII blanks are encoded alone and remembered.
 
-    Each word that a batch repeats is looked up once; what the batch's words encode to is gathered in one step.
-    ``width``: bytes of an id.
+    Each word that a batch repeats is looked up once; what the batch's words encode to is gathered in one step. Texts that
+    hold one of the tokenizer's added tokens, in any case of letters, are encoded whole. ``width``: bytes of an id.
     """
 
     #: Separates words that are encoded together: a control character, which is one token and part of no other.
@@ -50,10 +56,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
+        self.added = "(?i)" + "|".join("".join(f"\\x{{{ord(c):x}}}" for c in t) for t in added)
         self._forget()
 
     def _forget(self) -> None:
@@ -97,8 +104,22 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and len(texts) + 1 offsets. A null text has none."""
-        # the tokenizer lower-cases, and always parts a letter from a mark after it: either way the ids are the same
-        plain = pc.replace_substring_regex(pc.ascii_lower(texts.fill_null("")), r"(\p{L})([.,;:!?|])", r"\1 \2")
+        texts = texts.fill_null("")
+        special = pc.match_substring_regex(texts, self.added) if self.added != "(?i)" else pa.array([False] * len(texts))
+        whole = np.flatnonzero(special.to_numpy(zero_copy_only=False)) if len(texts) else []
+        if not len(whole):
+            return self._by_words(texts)
+        flat, offsets = self._by_words(pc.if_else(special, "", texts))
+        coded = self.tokenizer.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)
+        pieces, sizes, at = [], np.diff(offsets), 0
+        for k, e in zip(whole.tolist(), coded, strict=True):
+            pieces += [flat[at : offsets[k]], np.array(e.ids, self.kind)]
+            at, sizes[k] = offsets[k], len(e.ids)
+        return np.concatenate([*pieces, flat[at:]]), np.concatenate(([0], np.cumsum(sizes)))
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # the tokenizer lower-cases, and parts these letters from a mark after them: either way the ids are the same
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), _LETTER_THEN_MARK, r"\1 \2")
         words = pc.ascii_split_whitespace(plain)
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -152,27 +173,25 @@ class ShardWriter:
         self.index.append((self.size, self.ids))
 
     def close(self) -> bytes:
-        head = _HEAD.pack(hashlib.sha256(self.dictionary).digest(), self.width, len(self.dictionary), len(self.index))
-        out = b"".join([MAGIC, head, self.dictionary, np.array(self.index, "<u8").reshape(-1, 2).tobytes(), *self.frames])
+        head = _HEAD.pack(hashlib.sha256(self.dictionary).digest(), self.width, len(self.index))
+        out = b"".join([MAGIC, head, np.array(self.index, "<u8").reshape(-1, 2).tobytes(), *self.frames])
         self.reset()
         return out
 
 
 class ShardReader:
-    """Reads single documents of a shard. A dictionary that doesn't match its hash is refused."""
+    """Reads single documents of a shard. A dictionary that isn't the shard's is refused."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, dictionary: bytes):
         if data[: len(MAGIC)] != MAGIC:
             raise ValueError("not a shard of token ids")
-        digest, self.width, size, self.count = _HEAD.unpack_from(data, at := len(MAGIC))
+        digest, self.width, self.count = _HEAD.unpack_from(data, at := len(MAGIC))
         at += _HEAD.size
-        self.dictionary = data[at : at + size]
-        if hashlib.sha256(self.dictionary).digest() != digest:
-            raise ValueError("the shard's dictionary doesn't match its hash")
-        at += size
+        if hashlib.sha256(dictionary).digest() != digest:
+            raise ValueError("the dictionary doesn't match the shard's hash of it")
         self.index = np.frombuffer(data, "<u8", 2 * self.count, at).reshape(-1, 2)
         self.data, self.base = data, at + 16 * self.count
-        self.decompress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(self.dictionary) if size else None).decompress
+        self.decompress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).decompress
 
     def ids(self, k: int) -> np.ndarray:
         start = int(self.index[k - 1, 0]) if k else 0
@@ -187,7 +206,11 @@ class ShardReader:
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary from a bounded sample of serialized id arrays; none if there is too little to learn from."""
     own = encoder(path)
-    texts = [r[0] for r in docs.where("length(text) > 0").select(F.expr("left(text, 8192)")).limit(SAMPLE_DOCS).collect()]
+    some = docs.where("length(text) > 0")
+    step = max(1, some.count() // SAMPLE_DOCS)
+    some = some.where(F.pmod(F.xxhash64(F.lit("dictionary"), "doc_id"), F.lit(step)) == 0)
+    start = 1 + F.pmod(F.xxhash64(F.lit("start"), "doc_id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1))
+    texts = [r[0] for r in some.select(F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS))).limit(2 * SAMPLE_DOCS).collect()]
     flat, offsets = own.encode(pa.array(texts, pa.string()))
     samples = [x for x in (flat[a:b][:SAMPLE_IDS].tobytes() for a, b in pairwise(offsets.tolist())) if len(x) >= 8]
     total = sum(map(len, samples))
@@ -199,17 +222,28 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
         return b""
 
 
-def write(docs: DataFrame, path: str, end_id: int, name: str = "tokens") -> DataFrame:
-    """Encode every text, append ``end_id``, write shards in ascending doc_id order; the table of shards, reread.
+class Store(NamedTuple):
+    """Shards (part int, seq int, doc_ids array, shard binary, n_ids long, before long; part and seq are the order of
+    documents, before: ids of the part's shards before this one) and the dictionary that they name."""
 
-    Columns: part int, seq int (their order is the order of documents), doc_ids array, shard binary, n_ids long, before long
-    (ids of the part's shards before this one). A null text counts as empty (the end id alone). Null doc_ids come first; rows that share a doc_id keep the order of their
-    texts. Texts are dealt by ranges of doc_id before they are encoded, so that nothing is encoded twice.
+    shards: DataFrame
+    dictionary: bytes
+
+
+def write(docs: DataFrame, path: str, end_id: int, at: str | None = None) -> Store:
+    """Encode every text, append ``end_id``, write shards in ascending doc_id order under ``at`` (else a new shared folder).
+
+    A null text counts as empty (the end id alone). Null doc_ids come first; rows that share a doc_id keep the order of
+    their texts. Other columns are not read. Texts are dealt by ranges of doc_id before they are encoded, so that nothing
+    is encoded twice. A text of any length is encoded whole. An empty table gives no shards.
     """
     spark = docs.sparkSession
     small_batches(spark, 600)
     rows = docs.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(train_dictionary(rows, path))
+    at = at or f"{shared_dir(spark)}/lodestrand-{uuid.uuid4().hex}/tokens"
+    dictionary = train_dictionary(rows, path)
+    spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{at}/dictionary")
+    shared = spark.sparkContext.broadcast(dictionary)
     id_kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"part int, seq int, doc_ids array<{id_kind}>, shard binary, n_ids long, before long"
 
@@ -240,16 +274,33 @@ def write(docs: DataFrame, path: str, end_id: int, name: str = "tokens") -> Data
             yield shard(kind)
 
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
-    return materialize(dealt.mapInArrow(run, schema), name)
+    dealt.mapInArrow(run, schema).write.option("compression", "zstd").parquet(f"{at}/shards")
+    return Store(spark.read.schema(schema).parquet(f"{at}/shards"), dictionary)
+
+
+def open_store(spark: SparkSession, at: str) -> Store:
+    """What ``write`` left under ``at``."""
+    return Store(spark.read.parquet(f"{at}/shards"), bytes(spark.read.parquet(f"{at}/dictionary").first()["dictionary"]))
+
+
+def ids_of(store: Store, doc_id) -> list[list[int]]:
+    """The ids, with the end, of each document of this doc_id: one frame of its shard is decompressed for each."""
+    found = store.shards.where(F.array_contains("doc_ids", F.lit(doc_id))).orderBy("part", "seq").select("doc_ids", "shard")
+    out = []
+    for r in found.toLocalIterator():
+        shard = ShardReader(bytes(r["shard"]), store.dictionary)
+        out += [shard.ids(k).tolist() for k, d in enumerate(r["doc_ids"]) if d == doc_id]
+    return out
 
 
-def read(shards: DataFrame) -> DataFrame:
+def read(store: Store) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the shards.
 
     ``start`` counts the ids of all documents before: of the parts before (one number for each range of doc_ids, gathered
     by the driver), of the part's shards before, and by the shard's own index. Shards are decoded where they are read.
     """
-    spark = shards.sparkSession
+    shards, spark = store.shards, store.shards.sparkSession
+    shared = spark.sparkContext.broadcast(store.dictionary)
     parts, so_far = [], 0
     for r in sorted(shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
         parts.append((r["part"], so_far))
@@ -260,7 +311,7 @@ def read(shards: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for ids, blob, before in zip(batch.column("doc_ids"), batch.column("shard"), batch.column("before").to_pylist(), strict=True):
-                shard = ShardReader(blob.as_py())
+                shard = ShardReader(blob.as_py(), shared.value)
                 docs = [shard.ids(k) for k in range(shard.count)]
                 yield pa.RecordBatch.from_arrays(
                     [
