@@ -62,21 +62,31 @@ def test_masking(spark):
 
 
 def test_licences_equal_brute_force(spark):
-    texts = [None, "", "Released under the MIT License.", "é\nALL RIGHTS RESERVED\n\nfoo", "this work is licensed under\nthe gnu general public license version 3", license.TEMPLATES[1][1] + " more", "licensed under the apache license", "a b " * 30_000]
-    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(2, texts[2], "x")], "doc_id long, text string, found string")
-    got = {}
-    for r in license.matches(df).collect():
-        got[r.doc_id] = sorted((x.license, round(x.dice, 9)) for x in r.found)
+    mit, all_rights = next(t.text for t in license.TEMPLATES if t.name == "MIT" and "IN NO EVENT" in t.text), "All rights reserved."
+    texts = [None, "", "one", "Released under the MIT License.", "é\nALL RIGHTS RESERVED\n\nfoo", "this work is licensed under\nthe gnu general public license version 3", mit + " more", "licensed under the apache license", "a b " * 3_000]
+    texts += [
+        "Copyright 2020 Foo Inc. All rights reserved.", "The photos on this page are licensed under CC BY-NC 4.0 and nothing else.", "This project is released under the MIT License, see there.",
+        f"{mit} {all_rights} {mit}", f"{all_rights} " * 300, "x " * 500 + mit.replace("charge", "cost").replace("publish, distribute", "distribute"), "licensed under the mozilla general rights reserved license version",
+        "Licensed under the Apache License, Version 1.1.", mit[:300], "software without restriction including without limitation",
+    ]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(3, texts[3], "x")], "doc_id long, text string, found string")
+    got = {r.doc_id: [(x.license, round(x.dice, 9), x.start, x.stop) for x in r.found] for r in license.matches(df).collect()}
     for k, text in enumerate(texts):
-        units = {" ".join(re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), p)).split()) for p in [*(text or "").split("\n"), *re.split(r"\n[ \t\r]*\n", text or ""), text or ""]}
-        want = []
-        for u in units:
-            g = license.bigrams_of(u)
-            scores = sorted((-2 * len(g & b) / (len(g) + len(b)), n) for n, t in license.TEMPLATES if (b := license.bigrams_of(t)) and g)
-            if scores and -scores[0][0] >= license.THRESHOLD:
-                want.append((scores[0][1], round(-scores[0][0], 9)))
-        assert got[k] == sorted(want), text
-    assert got[2] == [("MIT", 1.0)] and license.matches(df.limit(0)).count() == 0
+        assert got[k] == [(n, round(d, 9), a, b) for n, d, a, b in license.brute_force(text)], text and text[:80]
+    assert [x[0] for x in got[3]] == ["MIT"] and [x[0] for x in got[12]] == ["MIT", "proprietary", "MIT"] and len(got[13]) == 300
+    assert [[x[0] for x in got[k]] for k in (9, 10, 11, 14, 16)] == [["proprietary"], ["CC-BY-NC-4.0"], ["MIT"], ["MIT"], []]
+    assert license.matches(df).columns == df.columns and license.matches(df.limit(0)).count() == 0
+
+
+def test_every_licence_is_told_from_its_family(spark):
+    """Each template, with words around it, gives its own name alone; anchors lose no window that reaches the threshold."""
+    df = spark.createDataFrame([(k, f"foo bar\n{t.text}\nbaz qux") for k, t in enumerate(license.TEMPLATES)], "doc_id long, text string")
+    for r in license.matches(df).collect():
+        assert [x.license for x in r.found] == [license.TEMPLATES[r.doc_id].name] and r.found[0].dice == 1.0
+    assert len({t.name for t in license.TEMPLATES}) >= 35
+    for t in license.TEMPLATES:
+        grams = set(license.bigrams_of(license.words_of(t.text)))
+        assert set(t.must) <= grams and len(grams) - len(set(license.anchors_of(sorted(grams)))) < license.least_shared(len(grams))
 
 
 @pytest.mark.parametrize(
@@ -109,6 +119,24 @@ def test_reputation_shrinks_and_blocks(spark):
     assert [r.d for r in domains.collect()] == ["b.co.uk", "b.com", "localhost"]
 
 
+def test_method_blocks_hosts_domains_and_suffixes(spark):
+    known = [("bad.x.org", 80, 76), ("a.spam.info", 60, 57), ("b.spam.info", 70, 66), ("c.spam.info", 90, 88), ("thin.y.org", 2, 2)]
+    known += [(f"h{k}.fine.org", 50, k % 3) for k in range(30)] + [(f"g{k}.good{k}.info", 40, 1) for k in range(30)]
+    pages = [(1, "http://bad.x.org/q"), (2, "http://new.spam.info/"), (3, "http://h3.fine.org/"), (4, "http://thin.y.org/"), (5, "http://never.seen/"), (6, None), (7, "http://bad.x.org/" + "x" * 300_000), (7, "http://bad.x.org/q"), (8, "http://a.spam.info/q"), (9, "http://www.example.com/en/")]
+    df = spark.createDataFrame([(i, u, "x", 1) for i, u in pages], "page_id long, url string, host string, n int")
+    got = url_filter.judge(df, spark.createDataFrame(known, "host string, n long, k long")).collect()
+    assert len(got) == len(pages) and {r.page_id for r in got if r.verdict == "block"} == {1, 2, 7, 8}
+    assert sum(r.verdict == "block" for r in got) == 5
+    nothing = spark.createDataFrame([], "host string, n long, k long")
+    assert {r.verdict for r in url_filter.judge(df, nothing).collect()} == {"allow"} and url_filter.judge(df.limit(0), nothing).count() == 0
+
+
+def test_outcomes_of_labels(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/en/7"), (1, "http://a.org/en/7.html?x"), (2, "http://A.org/de/8/"), (3, "http://a.org/en/9x"), (4, None), (5, "http://b.org/en/10")], "page_id long, url string")
+    labels = spark.createDataFrame([(7, 1, 0), (7, 1, 1), (8, 1, None), (10, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in url_filter.outcomes(pages, labels).collect()] == [("a.org", 3, 2)]
+
+
 def test_fingerprints_of_edits(spark):
     r = random.Random(6)
     words = [f"w{k}" for k in range(500)]
