@@ -43,16 +43,20 @@ def hashes_of(words: list[bytes], width: int) -> np.ndarray:
     return np.fromiter((hashed(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of ``hashes`` (uint64) have; 0 if there is none. Signed, as Spark holds it."""
+    counts = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        counts += np.unpackbits(hashes[k : k + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprint(text: bytes | None) -> int:
     """Bit b is 1 if set in over half of the shingles' hashes; no words: 0. Signed, as Spark holds it."""
     words = text.lower().split() if text else []
     if not words:
         return 0
-    hashes = hashes_of(words, SHINGLE).astype(">u8")
-    counts = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+    return majority(hashes_of(words, SHINGLE))
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -130,16 +134,16 @@ def keep_one(docs: DataFrame, find=near_duplicates) -> DataFrame:
     """``docs`` with one document of each component that ``find`` gives: that of the least doc_id.
 
     Of rows that share this doc_id the one with the least text stays. Rows without a doc_id stay. The columns are those
-    of ``docs``.
+    of ``docs``, whatever their names.
     """
     from pyspark.sql import Window
 
-    names = docs.columns
     found = find(docs.select("doc_id", "text"))
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.lit(1).alias("one")).select(F.col("doc_id").alias("__doc"))
-    kept = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("__doc"))
-    once = kept.withColumn("__k", F.row_number().over(Window.partitionBy("__doc").orderBy("text"))).where("__k = 1")
-    return once.select(*names).unionByName(docs.where("doc_id is null"))
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.lit(1).alias("one")).select(F.col("doc_id").alias("id"))
+    rows = docs.select(F.col("doc_id").alias("of"), F.col("text").alias("by"), F.struct("*").alias("row"))
+    kept = rows.where("of is not null").join(first, F.col("of") == F.col("id"))
+    once = kept.withColumn("k", F.row_number().over(Window.partitionBy("of").orderBy("by"))).where("k = 1")
+    return once.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
