@@ -1,17 +1,21 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
-Every window of ``WINDOW`` consecutive words of a test item is a pattern. A table over word pairs
-says how far the search may jump; where it says zero, the pair selects a bucket of patterns, the
-first words narrow it, and a direct comparison confirms. Texts are read once, nothing is shuffled.
+Every window of ``WINDOW`` consecutive words of a test item is a pattern. A table over hashed word pairs says how far the
+search may jump; where it says zero, the pair's hash selects a bucket of patterns, the hash of the first pair narrows it by
+bisection, and a direct comparison confirms. Texts are read once for each block of the benchmark, nothing is shuffled. A
+block is a few flat arrays, some ten bytes for each of its bytes of text; the driver and each worker hold one at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +23,12 @@ from pyspark.sql import functions as F
 from lodestrand.llm.common import materialize, small_batches, table
 
 WINDOW = 8
-#: Bytes of test texts that one search holds; a larger benchmark is searched in several passes.
-BLOCK_BYTES = 16_000_000
+#: Bytes of test texts that one search holds; a larger benchmark is searched in several passes. Longer items are parted
+#: into pieces of so many windows, which may lie in different blocks.
+BLOCK_BYTES, PIECE = 8_000_000, 50_000
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 _TABLE = bytes(b if b in _KEEP else 32 for b in range(256))
+_MIX = 0x9E3779B1
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -31,39 +37,55 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Search:
-    """Patterns of one length."""
-
-    def __init__(self, length: int, patterns: dict[tuple[int, ...], set]):
-        self.length = length
-        self.block = min(2, length)
-        self.shift: dict[tuple[int, ...], int] = {}
-        self.buckets: dict[tuple[int, ...], dict] = defaultdict(lambda: defaultdict(list))
-        for pattern, items in patterns.items():
-            for end in range(self.block, length + 1):
-                key = pattern[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, length), length - end)
-            self.buckets[pattern[length - self.block :]][pattern[: self.block]].append((list(pattern), items))
-        self.buckets = {k: dict(v) for k, v in self.buckets.items()}
-
-    def find(self, ids: list[int]) -> Iterator[tuple[int, set]]:
+    """Patterns of one length: windows of ``flat`` (numbers of words) at ``starts``, each of the item in ``owners``."""
+
+    def __init__(self, length: int, flat: np.ndarray, starts: np.ndarray, owners: np.ndarray):
+        self.length, self.block = length, min(2, length)
+        windows = flat[starts[:, None] + np.arange(length)]
+        unique, first, back = np.unique(windows, axis=0, return_index=True, return_inverse=True)
+        self.bits = max(8, int(2 * len(unique)).bit_length())
+        suffix, prefix = self._hash(unique[:, length - self.block :]), self._hash(unique[:, : self.block])
+        order = np.lexsort((prefix, suffix))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        shift = np.full(1 << self.bits, length - self.block + 1, np.uint8 if length < 250 else np.int32)
+        for end in range(self.block, length + 1):
+            np.minimum.at(shift, self._hash(unique[:, end - self.block : end]), length - end)
+        self.shift = array("B" if length < 250 else "i", shift.tobytes())
+        self.heads = array("i", np.searchsorted(suffix[order], np.arange((1 << self.bits) + 1)).astype(np.int32).tobytes())
+        self.prefix = array("q", prefix[order].tobytes())
+        self.starts = array("i", starts[first][order].astype(np.int32).tobytes())
+        pairs = np.unique(np.stack([rank[back.ravel()], owners], axis=1), axis=0)
+        self.owner_heads = array("i", np.searchsorted(pairs[:, 0], np.arange(len(order) + 1)).astype(np.int32).tobytes())
+        self.owners = array("i", pairs[:, 1].astype(np.int32).tobytes())
+
+    def _hash(self, pairs: np.ndarray) -> np.ndarray:
+        pairs = pairs.astype(np.int64)
+        return (pairs[:, 0] * _MIX + pairs[:, -1]) & (1 << self.bits) - 1
+
+    def find(self, ids: array, flat: array) -> Iterator[tuple[int, Sequence[int]]]:
         """(start, items) of each occurrence. A word of no pattern (-1) rules out every window over it."""
-        m, shift, buckets = self.length, self.shift, self.buckets
-        pair, miss = self.block == 2, self.length - self.block + 1
+        m, two, shift, mask = self.length, self.block - 1, self.shift, (1 << self.bits) - 1
         at, n = m - 1, len(ids)
         while at < n:
             last = ids[at]
             if last < 0:
                 at += m
                 continue
-            key = (ids[at - 1], last) if pair else (last,)
-            jump = shift.get(key, miss)
+            key = (ids[at - two] * _MIX + last) & mask
+            jump = shift[key]
             if jump:
                 at += jump
                 continue
-            start = at - m + 1
-            for pattern, items in buckets[key].get(tuple(ids[start : start + self.block]), ()):
-                if ids[start : at + 1] == pattern:
-                    yield start, items
+            start, high = at - m + 1, self.heads[key + 1]
+            first = (ids[start] * _MIX + ids[start + two]) & mask
+            k = bisect_left(self.prefix, first, self.heads[key], high)
+            while k < high and self.prefix[k] == first:
+                own = self.starts[k]
+                if flat[own : own + m] == ids[start : at + 1]:
+                    yield start, self.owners[self.owner_heads[k] : self.owner_heads[k + 1]]
+                    break
+                k += 1
             at += 1
 
 
@@ -72,69 +94,93 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set]] = defaultdict(lambda: defaultdict(set))
+        self.flat, self.names = array("i"), sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        by_length: dict[int, tuple[array, array]] = defaultdict(lambda: (array("i"), array("i")))
         for name, text in items:
-            words = [self.ids.setdefault(w, len(self.ids)) for w in words_of(text)]
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                by_length[size][tuple(words[i : i + size])].add(name)
-        self.searches = [Search(k, v) for k, v in sorted(by_length.items())]
+            words = words_of(text)
+            size, at = min(window, len(words)), len(self.flat)
+            self.flat.extend(self.ids.setdefault(w, len(self.ids)) for w in words)
+            if size:
+                starts, owners = by_length[size]
+                starts.extend(range(at, at + len(words) - size + 1))
+                owners.extend(repeat(number[name], len(words) - size + 1))
+        flat = np.array(self.flat, np.int32)
+        self.searches = [Search(k, flat, np.array(a), np.array(b)) for k, (a, b) in sorted(by_length.items())]
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """[(start, end)] of occurrences, end exclusive, and the items that they come from."""
-        ids = list(map(self.ids.get, words, repeat(-1)))
+        ids = array("i", map(self.ids.get, words, repeat(-1)))
         spans, items = [], set()
         for search in self.searches:
-            for start, found in search.find(ids):
+            for start, found in search.find(ids, self.flat):
                 spans.append((start, start + search.length))
-                items |= found
+                items.update(self.names[k] for k in found)
         return spans, items
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Benchmark]:
-    """Test items in blocks of bounded size; equal item ids stay together."""
+def _pieces(benchmark: DataFrame) -> DataFrame:
+    """(name, seq, body) of test items; long ones in pieces that overlap by a window less a word, so that none is lost."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text").cast("binary").alias("body")).where("body is not null")
+
+    def run(batches):
+        for batch in batches:
+            for name, body in zip(batch.column("name").to_pylist(), batch.column("body"), strict=True):
+                words = words_of(body.as_py())
+                at = [k for k in range(0, len(words), PIECE) if k == 0 or k + WINDOW <= len(words)]
+                parts = [b" ".join(words[k : k + PIECE + WINDOW - 1]) for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(range(len(at)), pa.int32()), pa.array(parts, pa.binary())], names=["name", "seq", "body"])
+
+    return materialize(rows.mapInArrow(run, "name string, seq int, body binary"), "benchmark")
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[Benchmark, bool]]:
+    """Test items in blocks of bounded size, each built when it is asked for; and whether it is the last."""
+    rows = _pieces(benchmark)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     count = max(1, -(-total // block_bytes))
     for k in range(count):
-        part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("name"), F.lit(count)) == k)
-        yield Benchmark([(r["name"], bytes(r["body"])) for r in part.collect()])
+        part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("name", "seq"), F.lit(count)) == k)
+        yield Benchmark([(r["name"], bytes(r["body"])) for r in part.select("name", "body").toLocalIterator()]), k + 1 == count
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Occurrences of test windows in every text.
 
     Returns ``docs`` without ``text`` and with one column ``scan``: struct<n_words long, spans array<struct<start int,
-    stop int>> (words, stop exclusive; may overlap), items array<string>>. A null or empty text has no words and no
-    hits; equal item ids are one item, a null item id is the item "null"; test items without words are never found.
-    Repeated rows stay. ``docs`` must not have columns named ``scan`` or ``body``.
+    stop int>> (words, stop exclusive; may overlap), items array<string>>. A null or empty text has no words and no hits;
+    one of any length is searched whole; equal item ids are one item, a null item id is the item "null"; test items without
+    words are never found; an empty benchmark finds nothing. Repeated rows stay. A column ``scan`` is replaced, all others
+    keep their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    other = [c for c in docs.columns if c != text]
-    found = docs.select(*other, F.col(text).cast("binary").alias("body"), F.lit(None).cast("struct<n_words:bigint,spans:array<struct<start:int,stop:int>>,items:array<string>>").alias("scan"))
-    blocks = list(_blocks(benchmark, block_bytes)) if benchmark is not None else []
-    for k, block in enumerate(blocks):
+    other = [c for c in docs.columns if c not in (text, "scan")]
+    row = F.struct(*[F.col(f"`{c}`") for c in other]) if other else F.lit(0)
+    found = docs.select(row.alias("row"), F.col(text).cast("binary").alias("body"), F.lit(None).cast("struct<n_words:bigint,spans:array<struct<start:int,stop:int>>,items:array<string>>").alias("scan"))
+    for block, last in _blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(block)
+        del block
 
         def run(batches, shared=shared):
             search = shared.value
             for batch in batches:
                 out = []
-                for body, before in zip(batch.column("body").to_pylist(), batch.column("scan").to_pylist(), strict=True):
-                    words = words_of(body)
+                for body, before in zip(batch.column("body"), batch.column("scan").to_pylist(), strict=True):
+                    words = words_of(body.as_py())
                     spans, items = search.hits(words)
                     if before:
                         spans += [(s["start"], s["stop"]) for s in before["spans"]]
                         items |= set(before["items"])
-                    out.append({"n_words": len(words), "spans": [{"start": a, "stop": b} for a, b in sorted(spans)], "items": sorted(items)})
+                    out.append({"n_words": len(words), "spans": [{"start": a, "stop": b} for a, b in sorted(set(spans))], "items": sorted(items)})
                 kind = batch.schema.field("scan").type
                 yield batch.set_column(batch.schema.get_field_index("scan"), "scan", pa.array(out, kind))
 
         found = found.mapInArrow(run, found.schema)
-        if k + 1 < len(blocks):
+        if not last:
             found = materialize(found, "scan")
-    return found.drop("body")
+            shared.destroy()
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in other], "scan")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

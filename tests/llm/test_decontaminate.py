@@ -41,3 +41,37 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.scan(docs, none).first()["scan"]["n_words"] == 2
     assert d._digest(spark, d.scan(docs.limit(0), none)).count() == 0
+
+
+def test_long_items_in_pieces_and_clashing_names(spark, monkeypatch):
+    """Windows over the edges of pieces are found; columns of any name stay."""
+    monkeypatch.setattr(d, "PIECE", 7)
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(90)]
+    items = [(1, " ".join(words)), (2, "w3 w4 w5"), (3, " ".join(words[40:55]))]
+    texts = [" ".join(words[k : k + r.randrange(6, 14)]) for k in range(80)] + ["x " * 100_000 + " ".join(words)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, "k") for i, t in enumerate(texts)], "doc_id long, text string, body int, scan int, row int, name string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (d.BLOCK_BYTES, 60):
+        got = d.scan(docs, bench, block_bytes=block_bytes)
+        assert got.columns == ["doc_id", "body", "row", "name", "scan"]
+        rows = {x.doc_id: x for x in got.collect()}
+        for i, (n, _, found) in enumerate(_brute(texts, items)):
+            assert (rows[i].scan["n_words"], rows[i].scan["items"], rows[i].body, rows[i].row) == (n, found, 1, 3)
+    assert d.clean(docs, bench).columns == docs.columns
+
+
+def test_a_block_is_small():
+    """Ten bytes and a word list for each byte of text, not an object for each window."""
+    import pickle
+    import tracemalloc
+
+    r = random.Random(1)
+    words = [f"word{k}" for k in range(20_000)]
+    items = [(str(k), " ".join(r.choices(words, k=500)).encode()) for k in range(200)]  # 1 MB
+    tracemalloc.start()
+    block = d.Benchmark(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    size = sum(len(t) for _, t in items)
+    assert held < 20 * size and len(pickle.dumps(block)) < 12 * size
