@@ -61,7 +61,7 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]
     Rows are dealt by ranges of the order, summed within their range, and shifted by the sums of the ranges before: no
     task holds more than a range, and only a row for each range goes through one task.
     """
-    from lodestrand.operators.graph import cut
+    from lodestrand.operators.graph import cut  # that module needs this one
 
     names = list(sums)
     dealt = cut(df.withColumns({f"__{n}": c for n, c in sums.items()}).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
@@ -73,15 +73,16 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]
     return out.select(*df.columns, *[(F.sum(f"__{n}").over(inside) + F.col(f"__b_{n}")).alias(n) for n in names])
 
 
-def _tie_groups(scored: DataFrame) -> DataFrame:
-    """Positives p and negatives n of each score, and tp and fp of it and all higher ones."""
-    g = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).cast("double").alias("p"), F.count_if(F.col("label") == 0).cast("double").alias("n"))
-    return running_sums(g, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n"), "place": F.lit(1)})
+def _tie_groups(scored: DataFrame, inside: Column | None = None) -> DataFrame:
+    """Positives p, negatives n and rows ``inside`` s of each score, and tp, fp and sp of it and all higher ones."""
+    s = F.count_if(F.lit(False) if inside is None else inside).cast("double").alias("s")
+    g = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).cast("double").alias("p"), F.count_if(F.col("label") == 0).cast("double").alias("n"), s)
+    return running_sums(g, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n"), "sp": F.col("s"), "place": F.lit(1)})
 
 
 def _totals(groups: DataFrame) -> DataFrame:
     """One row: all positives, negatives and distinct scores."""
-    return groups.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("all_p"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("all_n"), F.count("*").alias("len"))
+    return groups.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("all_p"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("all_n"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("all_s"), F.count("*").alias("len"))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
@@ -101,14 +102,19 @@ def pr_auc(scored: DataFrame) -> DataFrame:
     return area.select(F.coalesce(half_up(F.col("a"), 6), F.lit(float("nan"))).alias("pr_auc"))
 
 
-def threshold_selection(scored: DataFrame, ceiling: float, limit: int = 400) -> DataFrame:
+def threshold_selection(scored: DataFrame, ceiling: float, limit: int = 400, subset: str | None = None, subset_ceiling: float = 1.0) -> DataFrame:
     """One row (threshold, f1, false_merge_rate, feasible): best F1 among thresholds whose false-merge rate stays within
-    ``ceiling``, the lowest of equal ones; without such a threshold the best of all. Distinct scores, at most ``limit`` by stride."""
-    g = _tie_groups(scored)
+    ``ceiling``, the lowest of equal ones; without such a threshold the best of all. Distinct scores, at most ``limit`` by stride.
+
+    ``subset``: a boolean column; among its negatives, too, no more than ``subset_ceiling`` may be merged (none: no bound).
+    """
+    inside = F.coalesce(F.col(subset), F.lit(False)) & (F.col("label") == 0) if subset else F.lit(False)
+    g = _tie_groups(scored, inside)
     t = g.crossJoin(F.broadcast(_totals(g))).withColumn("k", F.col("len") - F.col("place"))  # one row; k counts from the lowest
     picked = (F.col("len") <= limit) | (F.floor(F.ceil(F.col("k") * limit / F.col("len")) * F.col("len") / limit) == F.col("k"))
     m = t.where(picked).withColumn("f1", ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all_p"), 0.0)).withColumn("fmr", ratio(F.col("fp"), F.col("all_n"), 0.0))
-    best = m.agg(F.max_by(F.struct(F.col("score").alias("threshold"), "f1", "fmr", (F.col("fmr") <= ceiling).alias("feasible")), F.struct((F.col("fmr") <= ceiling).alias("ok"), half_up(F.col("f1"), 12), -F.col("score"))).alias("b"))
+    ok = (F.col("fmr") <= ceiling) & (ratio(F.col("sp"), F.col("all_s"), 0.0) <= subset_ceiling)
+    best = m.agg(F.max_by(F.struct(F.col("score").alias("threshold"), "f1", "fmr", ok.alias("feasible")), F.struct(ok.alias("ok"), half_up(F.col("f1"), 12), -F.col("score"))).alias("b"))
     return best.select("b.threshold", half_up(F.col("b.f1"), 6).alias("f1"), half_up(F.col("b.fmr"), 6).alias("false_merge_rate"), "b.feasible")
 
 

@@ -17,16 +17,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.numbers import half_up
+from lodestrand.operators.aggregates import running_sums
 
 #: Bounds: edges of one component in one task; vertices and edges of a graph whose paths are counted from each source.
 COMPONENT_EDGES, PATH_VERTICES, PATH_EDGES = 2_000_000, 20_000, 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder (a local one where none is set, as in tests)."""
+    """``df`` checkpointed in the shared folder; a new local one where none is set and all of Spark is on this machine."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrand-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="lodestrand-"))
     return df.checkpoint()
 
 
@@ -110,6 +114,22 @@ def shortest_path(edges: DataFrame, start, goal, types: Sequence[str] | None = N
     return path[::-1] or None
 
 
+def find_path(vertices: DataFrame, edges: DataFrame, start, goal, types: Sequence[str] | None = None) -> dict:
+    """``shortest_path`` among ``vertices`` as {found, path, hops}, or {found: False, reason}."""
+    known = {r["id"] for r in vertices.where(F.col("id").isin([start, goal])).select("id").collect()}
+    if start not in known:
+        return {"found": False, "reason": "the start is not in the graph"}
+    if goal not in known:
+        return {"found": False, "reason": "the goal is not in the graph"}
+    if start == goal:
+        return {"found": False, "reason": "start and goal are the same"}
+    path = shortest_path(induced(edges, vertices), start, goal, types)
+    if path is None:
+        only = f" by edges of the types {', '.join(types)}" if types else ""
+        return {"found": False, "reason": f"no path leads from one to the other{only}"}
+    return {"found": True, "path": path, "hops": len(path) - 1}
+
+
 def neighbourhood(edges: DataFrame, focus) -> DataFrame:
     """Edges among ``focus`` and the vertices next to it."""
     e = undirected(edges)
@@ -276,4 +296,20 @@ def ranking(scores: DataFrame) -> DataFrame:
     """(id, score, rank) from (id, betweenness, centrality, pieces): weights .35, .35 and .30 of pieces over the most; ties by id."""
     most = scores.agg(F.greatest(F.max("pieces"), F.lit(1)).alias("most"))
     scored = scores.crossJoin(F.broadcast(most)).select("id", half_up(0.35 * F.col("betweenness") + 0.35 * F.col("centrality") + 0.30 * F.col("pieces") / F.col("most"), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    return running_sums(scored, [F.desc("score"), F.col("id")], {"rank": F.lit(1)}).withColumn("rank", F.col("rank").cast("int"))
+
+
+def community_profiles(groups: DataFrame, vertices: DataFrame, edges: DataFrame, scores: DataFrame) -> DataFrame:
+    """(community, size, kinds, edge_types, internal_edges, representatives) of (id, community).
+
+    kinds and edge_types are maps of counts, edges count if both ends are members; representatives: the three members of
+    highest betweenness in ``scores`` (id, betweenness), of equal ones the least id.
+    """
+    member = groups.join(vertices.select("id", "kind"), "id").join(scores.select("id", "betweenness"), "id", "left")
+    by_kind = member.groupBy("community", "kind").agg(F.count("*").alias("n")).groupBy("community").agg(F.sum("n").alias("size"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kinds"))
+    a, b = (groups.select(F.col("id").alias(e), F.col("community").alias(f"c_{e}")) for e in ("src", "dst"))
+    inside = edges.where("src <> dst").join(a, "src").join(b, "dst").where("c_src = c_dst").groupBy(F.col("c_src").alias("community"), "type").agg(F.count("*").alias("n"))
+    by_type = inside.groupBy("community").agg(F.sum("n").alias("internal_edges"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("edge_types"))
+    top = Window.partitionBy("community").orderBy(F.desc(F.coalesce("betweenness", F.lit(0.0))), "id")
+    first = member.withColumn("k", F.row_number().over(top)).where("k <= 3").groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("representatives"))
+    return by_kind.join(by_type, "community", "left").join(first, "community").select("community", "size", "kinds", "edge_types", F.coalesce("internal_edges", F.lit(0)).cast("long").alias("internal_edges"), "representatives")

@@ -6,7 +6,7 @@ attached by name never extends the index. Every choice among equals is a least i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions.ids import content_id
@@ -95,6 +95,6 @@ def resolve(facts: DataFrame) -> dict[str, DataFrame]:
 
 def _entity(joined: DataFrame, group: str) -> DataFrame:
     """Each mention with its entity: an id from the kind and all member ids in order."""
-    w = Window.partitionBy(group)
-    members = F.array_join(F.array_sort(F.collect_set("mention").over(w)), ",")
-    return joined.withColumn("n", F.count("*").over(w)).withColumn("entity_id", content_id("entity", F.col("kind"), members))
+    members = F.array_join(F.array_sort(F.collect_set("mention")), ",")
+    groups = joined.groupBy(group, "kind").agg(F.count("*").alias("n"), members.alias("m")).select(group, "n", content_id("entity", F.col("kind"), F.col("m")).alias("entity_id"))
+    return joined.join(groups, group)

@@ -22,13 +22,33 @@ INTENTS = [
     ("case_summary", ["summari[sz]e the case", "case summary", "what has been corroborated", "overall picture"]),
     ("relationship_between", ["relationship(s)? (exist|between)", "how (are|is) .* (related|connected|linked)", "connection between", "link(ed)? between", r"\bbetween\b"]),
 ]
-#: Longest surface in words, shortest in characters, shortest single word of a name, words that are none.
-WORDS, SHORTEST, SHORTEST_WORD = 5, 3, 4
+#: Shortest surface in characters, shortest single word of a name, words that are none.
+SHORTEST, SHORTEST_WORD = 3, 4
+#: Shapes of references: proper names, case identifiers, quoted words.
+REFERENCES = [r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})+\b", r"\bSYN-[A-Z]+-[0-9]+\b", r"'[^']{2,40}'", r'"[^"]{2,40}"']
+#: Stands where an unknown reference was; part of no name.
+_GONE = "\ue000"
 STOPWORDS = ["the", "and", "from", "with", "this", "that", "what", "which", "case", "company", "limited"]
 
 
 def normalize_question(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def _words(x: Column) -> Column:
+    """Runs of letters and digits, lower-cased."""
+    return F.filter(F.split(F.regexp_replace(F.lower(x), rf"[^\p{{L}}\p{{N}}{_GONE}]+", " "), " "), lambda w: w != "")
+
+
+def _runs(words: Column, least: int, most: Column) -> Column:
+    """struct<at, n, surface> of each run of ``least`` to ``most`` of the words."""
+
+    def from_(at: Column) -> Column:
+        longest = F.least(most, F.size(words) - at)
+        some = F.when(longest >= least, F.sequence(F.lit(least), longest)).otherwise(F.array().cast("array<int>"))
+        return F.transform(some, lambda n: F.struct(at.alias("at"), n.alias("n"), F.array_join(F.slice(words, at + 1, n), " ").alias("surface")))
+
+    return F.when(F.size(words) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), from_))).otherwise(F.array().cast("array<struct<at:int,n:int,surface:string>>"))
 
 
 def intent(question: Column, mentions: Column) -> Column:
@@ -48,16 +68,33 @@ def surfaces(labels: DataFrame) -> DataFrame:
     return every.groupBy("surface").agg(F.array_sort(F.collect_set("id")).alias("entities"))
 
 
+def unknown_references(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, unknown array) of (id, question): what looks like a name or an identifier but is no surface (surface), no run of
+    words within one, and holds no surface of several words."""
+    spans = F.array_distinct(F.concat(*[F.regexp_extract_all("question", F.lit(p), F.lit(0)) for p in REFERENCES]))
+    said = questions.select("id", F.explode(spans).alias("span")).withColumn("w", _words(F.col("span"))).withColumn("key", F.array_join("w", " ")).where(F.length("key") >= SHORTEST)
+    split = names.select(F.split("surface", " ").alias("w"))
+    within = split.select(F.explode(_runs(F.col("w"), 1, F.size("w"))).alias("r")).select(F.col("r.surface").alias("key")).distinct()
+    many = names.select(F.col("surface").alias("part")).where(F.contains("surface", F.lit(" "))).distinct()
+    holds = said.select("id", "span", F.explode(_runs(F.col("w"), 2, F.size("w"))).alias("r")).join(many, F.col("r.surface") == F.col("part"), "left_semi").select("id", "span").distinct()
+    left = said.join(within, "key", "left_anti").join(holds, ["id", "span"], "left_anti")
+    return left.groupBy("id").agg(F.array_sort(F.collect_set("span")).alias("unknown"))
+
+
 def ground(questions: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, intent, mentions, ambiguous) of (id, question): mentions are the entities that are named without doubt.
+    """(id, intent, mentions, ambiguous, unknown) of (id, question): mentions are the entities that are named without doubt.
 
-    Longer surfaces win over those that they overlap; a surface of two or more entities is ambiguous.
+    References to what is not known are told first and take their words, so that "Priya Sharma" is never answered as
+    another Sharma. Then longer surfaces win over those that they overlap; one of two or more entities is ambiguous.
     """
     q = questions.select("id", normalize_question(F.col("question")).alias("question"))
-    words = q.select("id", F.filter(F.split(F.regexp_replace("question", r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "").alias("w"))
-    runs = words.select("id", F.posexplode("w").alias("at", "first"), "w").select("id", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(WORDS), F.size("w") - F.col("at")))).alias("n"), "w")
-    spans = runs.select("id", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("surface")).where(F.length("surface") >= SHORTEST)
-    hits = spans.join(surfaces(labels), "surface").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "at", "n", "entities"))).alias("h"))
+    names = surfaces(labels)
+    q = q.join(unknown_references(q, names), "id", "left").withColumn("unknown", F.coalesce("unknown", F.array().cast("array<string>")))
+    longest = names.agg(F.coalesce(F.max(F.size(F.split("surface", " "))), F.lit(1)).alias("longest"))
+    left = F.aggregate("unknown", F.col("question"), lambda acc, x: F.replace(acc, x, F.lit(f" {_GONE} ")))
+    words = q.select("id", _words(left).alias("w")).crossJoin(F.broadcast(longest))  # one row
+    spans = words.select("id", F.explode(_runs(F.col("w"), 1, F.col("longest"))).alias("r")).select("id", "r.*").where(F.length("surface") >= SHORTEST)
+    hits = spans.join(names, "surface").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "at", "n", "entities"))).alias("h"))
     free = lambda acc, x: F.struct(F.when(F.exists(acc["k"], lambda y: (x["at"] < y["at"] + y["n"]) & (y["at"] < x["at"] + x["n"])), acc["k"]).otherwise(F.concat(acc["k"], F.array(x))).alias("k"))
     start = F.struct(F.slice("h", 1, 0).alias("k"))
     kept = hits.select("id", F.aggregate("h", start, free, lambda acc: acc["k"]).alias("k"))
@@ -65,4 +102,4 @@ def ground(questions: DataFrame, labels: DataFrame) -> DataFrame:
     known = kept.select("id", sure.alias("mentions"), F.exists("k", lambda x: F.size(x["entities"]) > 1).alias("ambiguous"))
     joined = q.join(known, "id", "left")
     mentions = F.coalesce("mentions", F.array().cast("array<string>"))
-    return joined.select("id", intent(F.col("question"), F.size(mentions)).alias("intent"), mentions.alias("mentions"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+    return joined.select("id", intent(F.lower("question"), F.size(mentions)).alias("intent"), mentions.alias("mentions"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), "unknown")

@@ -21,7 +21,11 @@ from lodestrand.functions.numbers import sigmoid
 #: The order of features is part of a model.
 FEATURES = ["exactNameMatch", "normalizedNameMatch", "anyVariantNormalizedMatch", "sortedTokenMatch", "tokenJaccard", "tokenContainment", "orderedPrefixContainment", "firstTokenMatch", "lastTokenMatch", "levenshteinRatio", "jaroWinkler", "trigramDice", "bestVariantTrigramDice", "lengthRatio", "tokenCountRatio", "singleTokenSide", "acronymMatch", "sameScript", "jurisdictionBothKnown", "jurisdictionCountryMatch", "jurisdictionCountryConflict", "officialNameBothPresent", "aliasesEitherPresent", "digitSetConflict", "romanNumeralConflict", "legalFormConflict", "structuralTokenAsymmetry", "coreNameMatch", "coreTokenJaccard", "coreTrigramDice", "idfWeightedJaccard", "maxSharedTokenIdf"]
 #: Words that tell entities of one family apart.
-STRUCTURAL = ["branch", "fund", "holding", "holdings", "international", "partners", "series", "subsidiary", "trust"]
+STRUCTURAL = [
+    "holding", "holdings", "group", "groupe", "finance", "financial", "capital", "international", "intressenter", "pharma",
+    "pharmaceutical", "pharmaceuticals", "services", "solutions", "trust", "partners", "partnership", "ventures", "investments",
+    "investment", "management", "operating", "properties", "entertainment", "technologies", "systems", "industries", "enterprises",
+]
 #: Largest matrix that is fitted on the driver.
 FIT_ROWS = 200_000
 

@@ -27,15 +27,21 @@ class Store:
 
     def append_if_absent(self, name: str, rows: DataFrame, key: str = "id") -> dict[str, int]:
         """Append rows whose key is not there yet; how many were created and how many skipped. Repeating it adds nothing."""
-        rows = rows.dropDuplicates([key])
-        had = self.exists(name)
-        new = rows.join(self.read(name).select(key), key, "left_anti") if had else rows
-        before = self.read(name).count() if had else 0
+        staged = self._path(f"_staging/{name}-{uuid.uuid4().hex}")
+        rows.dropDuplicates([key]).write.parquet(staged)  # the plan above runs once
+        rows = self.spark.read.schema(rows.schema).parquet(staged)
         total = rows.count()
-        new.write.mode("append").parquet(self._path(name))
-        created = self.read(name).count() - before
+        new = rows.join(self.read(name).select(key), key, "left_anti") if self.exists(name) else rows
+        created = new.count() if self.exists(name) else total
+        if created or not self.exists(name):
+            new.write.mode("append").parquet(self._path(name))
+        self._delete(staged)
         return {"created": created, "skipped": total - created}
 
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def put(self, key: str, value: str) -> None:
         """Set one key of the table ``meta``. Versions are appended; the latest counts."""
         version = (self._meta().agg(F.max("version")).first()[0] or 0) + 1 if self.exists("meta") else 1

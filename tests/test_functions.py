@@ -64,4 +64,21 @@ def test_variations(spark):
     df = spark.createDataFrame(cases, "a string, b string, want string")
     assert all(r.got == r.want for r in df.select("want", variation.variation(F.col("a"), F.col("b")).alias("got")).collect())
     row = spark.range(1).select(variation.latin(F.lit("राम")), variation.latin(F.lit("स्टील x")), variation.study_rules(F.lit("The Acme"), F.lit("Acme India"), ["india"]), variation.suffix_only(F.lit("A Ltd"), F.lit("A Inc"))).first()
-    assert (row[0], row[1], row[3]) == ("raama", "steela x", True) and "subset" not in row[2]
+    assert (row[0], row[1], row[3]) == ("ram", "stil x", True) and "subset" not in row[2]
+
+
+def test_devanagari_as_latin(spark):
+    from lodestrand.functions.variation import latin
+
+    words = {"राम": "ram", "बैंक": "bank", "स्टारबक्स": "starabaks", "क़लम": "qalam", "ज़ी": "zi", "हिंदी": "hindi", "अमन": "aman", "टाटा मोटर्स": "tata motars", "plain": "plain"}
+    rows = spark.createDataFrame(list(words.items()), "w string, want string").select("w", "want", latin(F.col("w")).alias("got")).collect()
+    assert {r.w: r.got for r in rows} == words
+    assert spark.createDataFrame([("स्टारबक्स",)], "w string").select(latin(F.col("w"), medial=True).alias("x")).first().x == "starbaks"
+
+
+def test_guardrail_scans(spark):
+    from lodestrand.functions.variation import banned_phrases, unsupported
+
+    rows = [("Asha Rao met with him on 2025-06-01, which proves it.", "Asha  Rao was seen 2025-06-01"), ("He was seen; see entity_0123abcd and SYN-AC-000001.", "SYN-AC-000001"), ("Observed Fact only", None), ("they met with us", "a witness said they MET WITH us")]
+    got = spark.createDataFrame(rows, "text string, support string").select(banned_phrases(F.col("text"), F.col("support")).alias("b"), unsupported(F.col("text"), F.col("support")).alias("u")).collect()
+    assert [(r.b, r.u) for r in got] == [(["met with", "proves"], []), ([], ["entity_0123abcd"]), ([], []), ([], [])]

@@ -174,3 +174,31 @@ def test_paths_of_more_than_fifty_edges(spark):
     chain = spark.createDataFrame([(k, k + 1, "t") for k in range(53)], "src long, dst long, type string")
     found = graph.hops(chain, spark.createDataFrame([(0,)], "id long"))
     assert {r.id: r.hops for r in found.collect()} == {k: k for k in range(54)}
+
+
+def test_paths_say_why_there_is_none(spark):
+    v = spark.createDataFrame([(k,) for k in range(6)], "id long")
+    e = spark.createDataFrame([(0, 1, "a", 1.0), (1, 2, "b", 1.0), (3, 4, "a", 1.0), (2, 99, "a", 1.0)], "src long, dst long, type string, weight double")
+    assert graph.find_path(v, e, 0, 2) == {"found": True, "path": [0, 1, 2], "hops": 2}
+    for start, goal, types, why in ((9, 1, None, "start"), (1, 9, None, "goal"), (1, 1, None, "same"), (0, 4, None, "no path"), (0, 2, ["a"], "of the types a")):
+        found = graph.find_path(v, e, start, goal, types)
+        assert not found["found"] and why in found["reason"]
+
+
+def test_community_profiles(spark):
+    v = spark.createDataFrame([(k, "person" if k < 3 else "place") for k in range(5)], "id long, kind string")
+    e = spark.createDataFrame([(0, 1, "a"), (1, 0, "a"), (1, 3, "b"), (0, 4, "a")], "src long, dst long, type string")
+    groups = spark.createDataFrame([(0, 0), (1, 0), (3, 0), (2, 2), (4, 4)], "id long, community long")
+    scores = spark.createDataFrame([(0, 0.1), (1, 0.5), (3, 0.1)], "id long, betweenness double")
+    got = {r.community: r for r in graph.community_profiles(groups, v, e, scores).collect()}
+    assert got[0].asDict() == {"community": 0, "size": 3, "kinds": {"person": 2, "place": 1}, "edge_types": {"a": 2, "b": 1}, "internal_edges": 3, "representatives": [1, 0, 3]}
+    assert (got[2].size, got[2].internal_edges, got[2].edge_types) == (1, 0, None)
+
+
+def test_thresholds_within_a_subset(spark):
+    rows = [(1, 0.9, False), (0, 0.8, True), (1, 0.7, False), (0, 0.2, False), (1, 0.6, False), (0, 0.1, True)]
+    scored = spark.createDataFrame(rows, "label int, score double, hard boolean")
+    assert aggregates.threshold_selection(scored, 0.5).first().threshold == 0.6
+    bound = aggregates.threshold_selection(scored, 0.5, subset="hard", subset_ceiling=0.4).first()
+    assert bound.threshold == 0.9 and bound.feasible
+    assert not aggregates.threshold_selection(scored, -1.0).first().feasible

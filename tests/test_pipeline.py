@@ -126,3 +126,21 @@ def test_corpus_checks(engine, spark):
 
     rows = validate(manifest.load(spark, engine.path)).collect()
     assert len(rows) == 16 and all(r.ok for r in rows)
+
+
+def test_unknown_people_are_not_answered_as_known_ones(spark):
+    from lodestrand.plans.ask import ground
+
+    known = [("p1", "Rahul Sharma"), ("p2", "Anil Sharma"), ("p3", "Maria del Carmen Lopez de la Cruz"), ("p4", "Karol Bagh Warehouse"), ("p5", "SYN-AC-000017"), ("p6", "Vikram Rao")]
+    labels = spark.createDataFrame(known, "id string, label string")
+    asked = [
+        ("a", "What about Priya Sharma?"), ("b", "What about Rahul Sharma?"), ("c", "who is Maria del Carmen Lopez de la Cruz"), ("d", "Is Sharma there?"), ("e", "what happened at Karol Bagh"),
+        ("f", "How is SYN-AC-000099 linked to SYN-AC-000017"), ("g", "tell me of 'the grey man' and Mr Vikram Rao"), ("h", "nothing known"), ("i", None), ("j", ""),
+    ]
+    got = {r.id: r for r in ground(spark.createDataFrame(asked, "id string, question string"), labels).collect()}
+    assert got["a"].mentions == [] and got["a"].unknown == ["Priya Sharma"] and not got["a"].ambiguous and got["a"].intent == "open_question"
+    assert got["b"].mentions == ["p1"] and got["b"].unknown == [] and got["c"].mentions == ["p3"]
+    assert got["d"].mentions == [] and got["d"].ambiguous and got["e"].unknown == []
+    assert got["f"].unknown == ["SYN-AC-000099"] and got["f"].mentions == ["p5"]
+    assert got["g"].unknown == ["'the grey man'"] and got["g"].mentions == ["p6"]
+    assert len(got) == 10 and got["i"].mentions == []
