@@ -5,9 +5,11 @@ the class of their last two bytes. A token's probability is that of its class, n
 product for thousands of positions, times the token's share in its class, smoothed from counts over the whole corpus.
 The prediction is bilinear: the two last classes and the mean of the last ``SPAN``, each through its own diagonal.
 
-Training reads every training document once: each task runs stochastic updates over its documents from common starting
-values, and the tasks' parameters are averaged, weighted by tokens. Counts of frequent tokens are sent to all tasks (a
-bounded table); the others meet their counts in a join by token.
+Training reads every training document once. Documents are dealt by hashes of doc_id and text to ``ROUNDS`` rounds and, in each, to
+shards, as many as their tokens need. A shard runs stochastic updates over its documents in order of doc_id, from the
+values of the round before; the shards' parameters are then averaged, weighted by tokens. So the model depends on the
+documents alone (but for rounding of sums), not on files, partitions or tasks. Counts of frequent tokens are sent to all
+tasks (a bounded table); the others meet their counts in a join by token.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ WORDS, ENDINGS = 256, 128
 SIZE, SPAN, CHUNK, NOISE = 16, 16, 4096, 24
 #: Positions that are scored at once; the table of classes for them stays in cache.
 SCORED = 1024
-#: Updates that a task makes at least, going over its first chunks again.
+#: Rounds of training, and tokens for which a round has a shard (but no fewer than LEAST_SHARDS).
+ROUNDS, SHARD_TOKENS, LEAST_SHARDS = 2, 8_000_000, 12
+#: Updates that a shard makes at least, going over its first chunks again.
 LEAST_UPDATES, KEPT_CHUNKS, RATE = 200, 64, 0.1
 #: Frequent tokens whose counts every task holds at most (all that are as frequent, or none of them); entries of a task's partial counts before they are sent on.
 HEAD, FLUSH = 120_000, 150_000
@@ -76,6 +80,13 @@ class Model:
         self.b = self.log_q.copy()
         self.C = np.ones((3, SIZE), np.float32)
         self.squares = [np.full(x.shape, 1e-2, np.float32) for x in self.parameters()]
+        self.updates = 0
+
+    def state(self) -> np.ndarray:
+        return self.flat().copy()
+
+    def restore(self, flat: np.ndarray) -> None:
+        self.put(flat)
 
     def parameters(self) -> list[np.ndarray]:
         return [self.R, self.Q, self.b, self.C]
@@ -112,6 +123,7 @@ class Model:
 
     def update(self, seq: np.ndarray, at: np.ndarray, r: np.random.Generator) -> None:
         """One step of noise-contrastive estimation with noise shared by all positions ``at``."""
+        self.updates += 1
         n, low, target = len(self.Q), int(at[0]), seq[at]
         p, parts = self.predict(seq, at, low)
         noise = np.searchsorted(self.noise, r.random(NOISE))
@@ -255,33 +267,11 @@ def lexicon(counts: DataFrame, head: int = HEAD) -> Lexicon:
 
 
 def train_model(train: DataFrame, lex) -> Model:
-    """``lex``: a broadcast Lexicon. One pass over ``train`` in every task, then the mean of the tasks' parameters."""
-    start = Model(lex.value.n_class)
-
-    def run(batches):
-        own, model = lex.value, Model(lex.value.n_class)
-        r = np.random.default_rng(11)
-        kept, updates, tokens = [], 0, 0
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            read = Batch(batch.column("body"))
-            seq, where = model.padded(own.read(read)[1], read.starts)
-            tokens += len(where)
-            for k in range(0, len(where), CHUNK):
-                at = where[k : k + CHUNK]
-                model.update(seq, at, r)
-                updates += 1
-                if len(kept) < KEPT_CHUNKS:
-                    low = int(at[0]) - SPAN
-                    kept.append((seq[low : at[-1] + 1].copy(), at - low))
-        while kept and updates < LEAST_UPDATES:
-            for seq, at in kept:
-                model.update(seq, at, r)
-                updates += 1
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([(model.flat().astype(np.float64) * tokens).tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["flat", "tokens"])
+    """``lex``: a broadcast Lexicon; ``train``: (doc_id, body). Rounds of shards and means, as said above."""
+    spark, start = train.sparkSession, Model(lex.value.n_class)
+    shards = max(LEAST_SHARDS, -(-lex.value.tokens // (ROUNDS * SHARD_TOKENS)))
+    placed = train.select("doc_id", "body", F.pmod(F.xxhash64(F.lit("round"), "doc_id", "body"), F.lit(ROUNDS)).alias("round"), F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "body"), F.lit(shards)).cast("int").alias("shard"))
+    kind = "flat binary, tokens long"
 
     def total(batches):
         flat, tokens = 0.0, 0
@@ -291,18 +281,76 @@ def train_model(train: DataFrame, lex) -> Model:
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["flat", "tokens"])
 
-    kind = "flat binary, tokens long"
-    parts = train.select("body").mapInArrow(run, kind).repartition(8).mapInArrow(total, kind).collect()
-    if parts:
-        start.put(sum(np.frombuffer(bytes(p["flat"])) for p in parts) / sum(p["tokens"] for p in parts))
+    for k in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(start.state())
+
+        def run(batches, shared=shared, k=k):
+            own = lex.value
+            shard = None
+
+            def end():
+                while kept and model.updates < LEAST_UPDATES:
+                    for seq, at in kept:
+                        model.update(seq, at, r)
+                return pa.RecordBatch.from_arrays([pa.array([(model.flat().astype(np.float64) * tokens).tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["flat", "tokens"])
+
+            for batch in batches:
+                ids = batch.column("shard").to_numpy()
+                for first, last in _spans(ids):
+                    if ids[first] != shard:
+                        if shard is not None:
+                            yield end()
+                        shard, kept, tokens, rest = ids[first], [], 0, None
+                        model = Model(own.n_class)
+                        model.restore(shared.value)
+                        r = np.random.default_rng([11, k, int(shard)])
+                    read = Batch(batch.column("body").slice(first, last - first))
+                    seq, where = model.padded(own.read(read)[1], read.starts)
+                    tokens += len(where)
+                    if rest is not None:  # positions that no update had yet, so that chunks don't depend on batches
+                        seq, where = np.concatenate([rest[0], seq]), np.concatenate([rest[1], where + len(rest[0])])
+                    whole = len(where) // CHUNK * CHUNK
+                    for at in np.split(where[:whole], whole // CHUNK) if whole else []:
+                        model.update(seq, at, r)
+                        if len(kept) < KEPT_CHUNKS:
+                            low = int(at[0]) - SPAN
+                            kept.append((seq[low : at[-1] + 1].copy(), at - low))
+                    rest = _tail(seq, where[whole:])
+            if shard is not None:
+                if rest is not None and len(rest[1]):
+                    model.update(*rest, r)
+                    kept = kept or [rest]
+                yield end()
+
+        # several shards may share a task; each has a model of its own
+        part = placed.where(F.col("round") == k).repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "body").select("shard", "body")
+        sums = part.mapInArrow(run, kind).repartition(8).mapInArrow(total, kind).collect()
+        if sums:
+            start.put(sum(np.frombuffer(bytes(p["flat"])) for p in sorted(sums, key=lambda p: bytes(p["flat"]))) / sum(p["tokens"] for p in sums))
+        shared.destroy()
     return start
 
 
+def _spans(ids: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal values, as (first, last exclusive)."""
+    borders = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+    return [(a, b) for a, b in zip(borders, borders[1:], strict=False) if a < b]
+
+
+def _tail(seq: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """What is left of a padded sequence for later updates, with as much before it as contexts need."""
+    if not len(where):
+        return None
+    low = int(where[0]) - SPAN
+    return seq[low:].copy(), where - low
+
+
 def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``.
 
     A null text counts as empty: its only token is the end. Repeated rows are counted and scored each. With no training
-    document all counts are 0. Other columns are not read.
+    document all counts are 0. Texts of any length are read whole; equal texts of one doc_id are ties that change nothing.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -310,7 +358,7 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     train = rows.where("not held_out")
     counts = materialize(token_counts(train), "counts")
     lex = spark.sparkContext.broadcast(lexicon(counts, head))
-    model = spark.sparkContext.broadcast(train_model(train, lex))
+    model = spark.sparkContext.broadcast(train_model(train.select("doc_id", "body"), lex))
     id_kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -68,3 +68,9 @@ def test_nothing_to_learn_from(spark):
     row = lm.score(df).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0)
     assert lm.score(df.limit(0)).count() == 0
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame(_docs(200, 5) + [(7, "again a1 a2"), (None, "a1 zz")], "doc_id long, text string")
+    one, many = ({(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in lm.score(x).collect()} for x in (df.repartition(1), df.orderBy("text").repartition(7)))
+    assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], rel=1e-4, abs=1e-3) for k in one)
