@@ -21,6 +21,8 @@ from lodestrand.operators.aggregates import running_sums
 
 #: Bounds: edges of one component in one task; vertices and edges of a graph whose paths are counted from each source.
 COMPONENT_EDGES, PATH_VERTICES, PATH_EDGES = 2_000_000, 20_000, 500_000
+#: Graphs of no more edges have their components found by one task.
+FEW_EDGES = 200_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,13 +48,39 @@ def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
 
 
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges from each vertex to the least of its component, by union and find."""
+    up: dict = {}
+
+    def top(v):
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    kinds = None
+    for batch in batches:
+        kinds = batch.dtypes
+        for a, b in zip(batch["src"], batch["dst"], strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            a, b = top(a), top(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if kinds is not None:
+        rows = [(v, top(v)) for v in up if top(v) != v]
+        yield pd.DataFrame({"src": pd.Series([v for v, _ in rows], dtype=kinds["src"]), "dst": pd.Series([r for _, r in rows], dtype=kinds["dst"])})
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that is reached along edges, whatever their direction.
 
     Edges are rewritten to stars around least neighbours, alternately from above and below; rounds grow with the
-    logarithm of a component's size, not its diameter.
+    logarithm of a component's size, not its diameter. Up to ``FEW_EDGES`` edges one task does it at once, to the same end.
     """
     own = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    if own.count() <= FEW_EDGES:
+        own = cut(own.coalesce(1).mapInPandas(_stars, own.schema))
     before = None
     while True:
         now = own.agg(F.count("*"), F.expr("bit_xor(xxhash64(src, dst))")).first()

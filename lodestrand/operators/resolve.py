@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions.ids import content_id
 from lodestrand.functions.names import normalize_name
-from lodestrand.operators.graph import connected_components
+from lodestrand.operators.graph import connected_components, cut
 
 #: Confidences of decisions, the schemes whose equal values make one entity, direct identifiers.
 CONFIDENCE = {"canonical_identifier": 1.0, "shared_identifier_merge": 0.95, "new_entity": 1.0, "exact_name": 0.6, "normalized_name": 0.55, "unlinked": 0.5, "ambiguous": 0.2}
@@ -53,7 +53,7 @@ def resolve(facts: DataFrame) -> dict[str, DataFrame]:
     parts = connected_components(nodes.unionByName(keyed.select(F.concat(F.lit("k:"), "key").alias("id")).distinct()), keyed.select(F.concat(F.lit("m:"), "mention").alias("src"), F.concat(F.lit("k:"), "key").alias("dst")))
     joined = parts.where(F.startswith("id", F.lit("m:"))).select(F.expr("substring(id, 3)").alias("mention"), "component").join(mentions, "mention")
     named = _entity(joined, "component")
-    tier_a = named.select("mention", "kind", "name", "entity_id", F.when(F.col("n") > 1, "shared_identifier_merge").otherwise("new_entity").alias("type"), F.lit("resolved").alias("status"), F.when(F.col("n") > 1, CONFIDENCE["shared_identifier_merge"]).otherwise(CONFIDENCE["new_entity"]).alias("confidence"))
+    tier_a = cut(named.select("mention", "kind", "name", "entity_id", F.when(F.col("n") > 1, "shared_identifier_merge").otherwise("new_entity").alias("type"), F.lit("resolved").alias("status"), F.when(F.col("n") > 1, CONFIDENCE["shared_identifier_merge"]).otherwise(CONFIDENCE["new_entity"]).alias("confidence")))
 
     rest = mentions.join(tier_a.select("mention"), "mention", "left_anti").withColumn("norm", normalize_name(F.col("name")))
     rest = rest.join(torn.withColumn("torn", F.lit(True)), "mention", "left")
@@ -79,7 +79,7 @@ def resolve(facts: DataFrame) -> dict[str, DataFrame]:
         row = F.struct(entity.alias("entity_id"), F.lit(kind).alias("type"), F.lit(status).alias("status"), F.lit(confidence).alias("confidence"), n.cast("long").alias("candidates"))
         pick = F.when(when, row) if pick is None else pick.when(when, row)
     tier_b = tried.select("mention", "kind", "name", pick.alias("c")).select("mention", "kind", "name", "c.*")
-    decided = tier_a.withColumn("candidates", F.lit(1).cast("long")).select(tier_b.columns).unionByName(tier_b)
+    decided = cut(tier_a.withColumn("candidates", F.lit(1).cast("long")).select(tier_b.columns).unionByName(tier_b))
 
     note = facts.where("record_type = 'attribute_mention' and attribute = 'note'").groupBy("evidence_item_id").agg(F.max(F.contains(F.lower("observed"), F.lit("variant"))).alias("variant"))
     ranked = decided.join(mentions.select("mention", "evidence_item_id"), "mention").join(note, "evidence_item_id", "left")
