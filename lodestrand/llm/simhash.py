@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import materialize, small_batches, table
+from lodestrand.llm.common import discard, materialize, small_batches, table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Largest bucket whose pairs are compared.
@@ -111,7 +111,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.expr("array(struct(a as a, m as b), struct(b as a, m as b))")).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = materialize(small, "edges")
+        old, edges = edges, materialize(small, "edges")
+        discard(old)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -> DataFrame:
