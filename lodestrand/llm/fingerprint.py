@@ -1,9 +1,11 @@
 """Document fingerprints from closed syncmers of words.
 
 A k-mer of words is chosen if the least hash among its inner s-mers stands at its first or last place: a property of the
-k-mer alone, so the same passage gives the same anchors wherever it stands. A fingerprint holds the ``ANCHORS`` chosen
-k-mers of least hash with their first positions. Two fingerprints are as alike as the share of anchors, among the least
-of both, that they have in common and that keep their distance: positions must shift alike, as in an edited copy.
+k-mer alone, so the same passage gives the same anchors wherever it stands. A fingerprint holds, with their first
+positions, the chosen k-mers whose hash lies in the least quarter of all hashes, and the ``ANCHORS`` of least hash anyway:
+it grows with the text, so that a passage within a long one keeps its anchors. Two fingerprints are as alike as the share
+of anchors, up to the hash to which both hold all, that they have in common and that keep their distance: positions must
+shift alike, as in an edited copy. A text of fewer words than a k-mer, or without a chosen one, has its words as anchors.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm.common import materialize, table
 
-#: Words of a k-mer and of an inner s-mer (fixed by the expressions below); anchors of a fingerprint.
-K, S, ANCHORS = 4, 2, 32
+#: Words of a k-mer and of an inner s-mer (fixed by the expressions below); anchors of a fingerprint at least, and the
+#: (signed) hash below which all are kept.
+K, S, ANCHORS, ALL_BELOW = 4, 2, 32, -(1 << 62)
 #: A word is cut after so many characters, so that text without blanks has anchors, too.
 PIECE = r"[^\x20\x09-\x0D]{1,16}"
 #: Words by which shared anchors may shift otherwise than most: at least, and as a share of the last position.
@@ -30,16 +33,15 @@ def anchors(text: Column) -> Column:
     """struct<h array<bigint>, p array<int>>: hashes in ascending order and their first positions; both empty without words."""
 
     def least(chosen: Column) -> Column:
-        kept = F.slice(F.array_distinct(F.sort_array(F.transform(chosen, lambda x: x["h"]))), 1, ANCHORS)
+        def firsts(x: Column) -> Column:
+            once = F.filter(x, lambda y, i: (i == 0) | (y["h"] != F.get(x, i - 1)["h"]))
+            kept = F.filter(once, lambda y, i: (i < ANCHORS) | (y["h"] < ALL_BELOW))
+            return _let(kept, lambda k: F.struct(F.transform(k, lambda y: y["h"]).alias("h"), F.transform(k, lambda y: y["p"]).alias("p")))
 
-        def firsts(low: Column) -> Column:
-            near = F.filter(chosen, lambda x: x["h"] <= F.element_at(low, -1))
-            return F.struct(low.alias("h"), F.transform(low, lambda h: F.array_min(F.transform(F.filter(near, lambda x: x["h"] == h), lambda x: x["p"]))).alias("p"))
-
-        return _let(kept, firsts)
+        return _let(F.array_sort(chosen), firsts)
 
     def choose(words: Column) -> Column:
-        whole = F.array(F.struct(F.xxhash64(F.array_join(words.cast("array<string>"), " ")).alias("h"), F.lit(0).alias("p")))
+        single = F.transform(words, lambda w, i: F.struct(w.alias("h"), i.alias("p")))
 
         def windows(s: Column) -> Column:
             def edge(x: Column, i: Column) -> Column:
@@ -47,10 +49,10 @@ def anchors(text: Column) -> Column:
                 return F.when((i < F.size(s) - 2) & ((x <= F.get(s, i + 1)) & (x <= last) | (last <= x) & (last <= F.get(s, i + 1))), F.struct(F.xxhash64(x, last).alias("h"), i.alias("p")))
 
             found = F.filter(F.transform(s, edge), lambda x: x.isNotNull())
-            return _let(found, lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
+            return _let(found, lambda c: F.when(F.size(c) > 0, c).otherwise(single))
 
         pairs = F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1))), 1, F.greatest(F.lit(0), F.size(words) - 1))
-        return F.when(F.size(words) == 0, F.array().cast("array<struct<h:bigint,p:int>>")).when(F.size(words) < K, whole).otherwise(_let(pairs, windows))
+        return F.when(F.size(words) == 0, F.array().cast("array<struct<h:bigint,p:int>>")).when(F.size(words) < K, single).otherwise(_let(pairs, windows))
 
     hashed = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda w: F.xxhash64(w))
     none = F.struct(F.array().cast("array<bigint>").alias("h"), F.array().cast("array<int>").alias("p"))
@@ -65,20 +67,31 @@ def written(a: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1. Two fingerprints without anchors are alike (1), one without and one with are not (0)."""
 
-    def compare(u: Column) -> Column:
-        shared = F.filter(u, lambda x: F.array_contains(a["h"], x) & F.array_contains(b["h"], x))
-        shifts = F.transform(shared, lambda x: F.element_at(b["p"], F.array_position(b["h"], x).cast("int")) - F.element_at(a["p"], F.array_position(a["h"], x).cast("int")))
-        slack = F.greatest(F.lit(SLACK), (F.greatest(F.array_max(a["p"]), F.array_max(b["p"])) / SLACK_SHARE).cast("int"))
+    def cover(x: Column) -> Column:
+        """The hash up to which a fingerprint holds all anchors."""
+        return F.when(F.size(x["h"]) < ANCHORS, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.element_at(x["h"], -1), F.lit(ALL_BELOW - 1)))
+
+    def within(x: Column, side: int, bound: Column) -> Column:
+        rows = F.transform(F.arrays_zip(x["h"].alias("h"), x["p"].alias("p")), lambda y: F.struct(y["h"].alias("h"), F.lit(side).alias("side"), y["p"].alias("p")))
+        return F.filter(rows, lambda y: y["h"] <= bound)
+
+    def compare(both: Column) -> Column:
+        def share(shifts: Column) -> Column:
+            slack = F.greatest(F.lit(SLACK), (F.greatest(F.array_max(a["p"]), F.array_max(b["p"])) / SLACK_SHARE).cast("int"))
+
+            def aligned(d: Column) -> Column:
+                middle = F.get(F.sort_array(d), ((F.size(d) - 1) / 2).cast("int"))
+                return F.size(F.filter(d, lambda x: F.abs(x - middle) <= slack))
 
-        def aligned(d: Column) -> Column:
-            middle = F.get(F.sort_array(d), ((F.size(d) - 1) / 2).cast("int"))
-            return F.size(F.filter(d, lambda x: F.abs(x - middle) <= slack))
+            return F.when(F.size(shifts) == 0, 0.0).otherwise(_let(shifts, aligned) / (F.size(both) - F.size(shifts)))
 
-        return F.when(F.size(shared) == 0, 0.0).otherwise(_let(shifts, aligned) / F.size(u))
+        next_to = F.transform(both, lambda x, i: F.when(F.get(both, i + 1)["h"] == x["h"], F.get(both, i + 1)["p"] - x["p"]))
+        return _let(F.filter(next_to, lambda d: d.isNotNull()), share)
 
     either = (F.size(a["h"]) == 0) | (F.size(b["h"]) == 0)
     both = (F.size(a["h"]) == 0) & (F.size(b["h"]) == 0)
-    return F.when(both, 1.0).when(either, 0.0).otherwise(_let(F.slice(F.sort_array(F.array_union(a["h"], b["h"])), 1, ANCHORS), compare))
+    every = _let(F.least(cover(a), cover(b)), lambda bound: F.array_sort(F.concat(within(a, 0, bound), within(b, 1, bound))))
+    return F.when(both, 1.0).when(either, 0.0).otherwise(_let(every, compare))
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -101,7 +114,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars/4) code points replaced by the first as many of the next document. A null
     text counts as empty. Of rows that share a doc_id, the one with the least text stands for it as a next document, and
-    all have the same next. A row without a doc_id has no next: its edited text is its own, near_next is 0.
+    all have the same next. A row without a doc_id has no next: its edited text is its own, near_next is 0. Texts of any
+    length are read whole; an empty table gives no rows; other columns are not read.
     """
     every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own, lost = every.where("doc_id is not null"), every.where("doc_id is null").withColumn("a", anchors(F.col("text")))
