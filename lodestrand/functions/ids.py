@@ -18,6 +18,11 @@ def is_id_of(kind: str, x: Column) -> Column:
     return x.startswith(kind + "_")
 
 
-def canonical_digest(struct: Column) -> Column:
-    """SHA-256 of a struct as JSON with its fields in order of name, nulls written out."""
-    return F.sha2(F.to_json(struct, {"ignoreNullFields": "false"}), 256)
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """JSON of an object with its fields in order of name, nulls written out."""
+    return F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def canonical_digest(fields: dict[str, Column]) -> Column:
+    """SHA-256 of ``canonical_json``."""
+    return F.sha2(canonical_json(fields), 256)

@@ -102,4 +102,4 @@ def unsupported(text: Column, support: Column) -> Column:
     """Identifiers, phones, dates, ids and proper names in ``text`` that neither ``support`` nor the vocabulary holds."""
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in LITERALS.values()])
     known = F.concat(_flat(F.coalesce(support, F.lit(""))), F.lit(" \n " + " \n ".join(VOCABULARY)))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: ~F.contains(known, _flat(x)))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: ~F.contains(known, _flat(x)))))

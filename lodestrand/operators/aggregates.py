@@ -32,14 +32,23 @@ def aggregate_edges(contributions: DataFrame) -> DataFrame:
     ).withColumn("classification", classified(F.size("evidence_ids")))
 
 
+def sliced_rates(df: DataFrame, slices: Sequence[str], hit: Column) -> DataFrame:
+    """(slice, value, n, hits, rate): how many rows of each value of each of ``slices`` are a ``hit``; a null value is "null"."""
+    values = F.array(*[F.struct(F.lit(s).alias("slice"), F.coalesce(F.col(s).cast("string"), F.lit("null")).alias("value")) for s in slices])
+    rows = df.select(F.explode(values).alias("s"), F.coalesce(hit, F.lit(False)).alias("hit"))
+    g = rows.groupBy("s.slice", "s.value").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    return g.withColumn("rate", half_up(F.col("hits") / F.col("n"), 6))
+
+
 def census(df: DataFrame, column: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """A column of counts for each of ``values``, zeros included."""
     return df.groupBy(*by).agg(*[F.count_if(F.col(column) == v).alias(v.lower().replace(" ", "_")) for v in values])
 
 
-def document_frequency(words: DataFrame, word: str, document: str, least: int = 2) -> DataFrame:
-    """(word, df): documents that hold it, if at least ``least``."""
-    return words.select(word, document).distinct().groupBy(word).agg(F.count("*").alias("df")).where(F.col("df") >= least)
+def document_frequency(words: DataFrame, word: str, document: str, least: int = 2, distinct: bool = False) -> DataFrame:
+    """(word, df): documents that hold it, if at least ``least``. ``distinct``: no document has a word twice in ``words``."""
+    rows = words.select(word, document)
+    return (rows if distinct else rows.distinct()).groupBy(word).agg(F.count("*").alias("df")).where(F.col("df") >= least)
 
 
 def idf(df: Column, documents: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.numbers import haversine_m
@@ -65,6 +65,16 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, key: str = "id") -> Da
     return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
+def negative_sample(left: DataFrame, right: DataFrame, key: str, known: DataFrame, seed: int, each: int) -> DataFrame:
+    """(a, b): of every row (key, id) of ``left``, its ``each`` rows of ``right`` with the same key and another id, least by
+    a hash of the seed and both ids, without the pairs of ``known`` (a, b). Nothing depends on order of arrival."""
+    a, b = left.select(key, F.col("id").alias("a")), right.select(key, F.col("id").alias("b"))
+    pairs = a.join(b, key).where("a <> b").select("a", "b").join(known.select("a", "b"), ["a", "b"], "left_anti")
+    drawn = pairs.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("a").cast("string"), F.col("b").cast("string"))))
+    w = Window.partitionBy("a").orderBy("h", "b")
+    return drawn.withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).select("a", "b")
+
+
 def missing(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
     """Values of ``column`` that ``known`` lacks: empty when integrity holds."""
     refs = rows.select(F.col(column).alias("ref")).where("ref is not null").distinct()

@@ -35,6 +35,48 @@ def relationships(found: DataFrame, expected: DataFrame) -> list[dict]:
     return [_ratio("relationship precision", hit, f.count()), _ratio("relationship recall", hit, e.count())]
 
 
+def mention_coverage(mentions: DataFrame, decisions: DataFrame) -> dict:
+    """Mentions (mention) for which there is a decision that resolves them."""
+    resolved = decisions.where("status = 'resolved'").select("mention").distinct()
+    return _ratio("mention coverage", mentions.select("mention").distinct().join(resolved, "mention", "left_semi").count(), mentions.select("mention").distinct().count())
+
+
+def alias_attachment(aliases: DataFrame, expected: DataFrame) -> dict:
+    """Expected (alias, entity_id) that are attached so, whatever the case of letters."""
+    key = lambda df: df.select(F.lower(F.trim("alias")).alias("alias"), "entity_id").distinct()
+    return _ratio("alias attachment", key(expected).join(key(aliases), ["alias", "entity_id"], "left_semi").count(), key(expected).count())
+
+
+def classification_agreement(found: DataFrame, expected: DataFrame) -> dict:
+    """Of edges (type, src, dst, classification) that both have, in either direction, those of the same class."""
+    key = lambda df, c: df.select("type", F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), F.col("classification").alias(c)).distinct()
+    both = key(found, "f").join(key(expected, "e"), ["type", "x", "y"])
+    return _ratio("classification agreement", both.where("f = e").count(), both.count())
+
+
+def community_f1(groups: DataFrame, expected: DataFrame) -> dict:
+    """Pairwise F1 of (id, community) against expected (id, key), over the ids that both have."""
+    p = pair_counts(groups.join(expected, "id"), "key", "community").first()
+    return {"metric": "community pairwise f1", "part": p["tp"], "whole": p["tp"] + p["fn"], "value": p["f1"]}
+
+
+def top_signal(ranked: DataFrame, expected: DataFrame) -> dict:
+    """Expected signals (signal_type, id) whose id is first of its type in ``ranked`` (signal_type, id, score), ties by id."""
+    first = ranked.groupBy("signal_type").agg(F.min_by("id", F.struct((-F.col("score")).alias("s"), "id")).alias("id")).select("signal_type", "id")
+    e = expected.select("signal_type", "id").distinct()
+    return _ratio("expected signal first", e.join(first, ["signal_type", "id"], "left_semi").count(), e.count())
+
+
+def hidden_connections(edges: DataFrame, expected: DataFrame) -> dict:
+    """Expected pairs (a, b) that some path joins."""
+    from lodestrand.operators.graph import hops
+
+    reach = hops(edges.select("src", "dst", F.lit("any").alias("type")), expected.select(F.col("a").alias("id")).distinct())
+    e = expected.select("a", "b").distinct()
+    hit = e.join(reach.select(F.col("source").alias("a"), F.col("id").alias("b")), ["a", "b"], "left_semi")
+    return _ratio("hidden connections", hit.count(), e.count())
+
+
 def recall(found: DataFrame, expected: DataFrame, keys: list[str], name: str) -> dict:
     e = expected.select(*keys).distinct()
     return _ratio(name, e.join(found.select(*keys).distinct(), keys, "left_semi").count(), e.count())

@@ -49,10 +49,24 @@ def findings(table: DataFrame, kind=None, finding_type=None, classification=None
     return page(table, [rank, "finding_type", "id"], offset, limit, MOST_FINDINGS)
 
 
-def snapshot(vertices: DataFrame, edges: DataFrame, most: int = SNAPSHOT) -> tuple[DataFrame, DataFrame]:
-    """The vertices of highest degree (by id among equal) and the edges among them."""
-    top = graph.degrees(vertices, edges).orderBy(F.desc("degree"), "id").limit(min(max(1, most), MOST_SNAPSHOT)).select("id")
-    return top, graph.induced(edges, top)
+def snapshot(vertices: DataFrame, edges: DataFrame, most: int = SNAPSHOT, focus=None) -> tuple[DataFrame, DataFrame, bool]:
+    """The vertices of highest degree (by id among equal), the edges among them, and whether any vertex is left out.
+
+    With ``focus``: that vertex and its neighbours, the focus first, under the same bound.
+    """
+    most = min(max(1, most), MOST_SNAPSHOT)
+    ranked = graph.degrees(vertices, edges)
+    if focus is not None:
+        e = graph.undirected(edges)
+        near = e.where(F.col("src") == F.lit(focus)).select(F.col("dst").alias("id"))
+        ranked = ranked.where(F.col("id") == F.lit(focus)).unionByName(ranked.where(F.col("id") != F.lit(focus)).join(near, "id", "left_semi"))
+    order = [F.desc(F.col("id") == F.lit(focus))] if focus is not None else []
+    top = ranked.orderBy(*order, F.desc("degree"), "id").limit(most + 1).select("id")
+    kept = graph.cut(top)
+    truncated = kept.count() > most
+    if truncated:
+        kept = graph.cut(ranked.orderBy(*order, F.desc("degree"), "id").limit(most).select("id"))
+    return kept, graph.induced(edges, kept), truncated
 
 
 def evidence_counts(table: DataFrame, column: str) -> dict[str, int]:

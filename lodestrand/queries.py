@@ -410,9 +410,8 @@ _TOKENS = "tk AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(translate
 def _frequencies(spark, sf):
     d = _t(spark, sf, "documents")
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    # a text's own words are made distinct before anything is exchanged
     w = d.select("doc_id", F.explode(F.array_distinct(F.split(lowered, r"[ \n]+"))).alias("token")).where("token <> ''")
-    return w.groupBy("token").agg(F.count("*").alias("df")).where("df >= 2")
+    return aggregates.document_frequency(w, "token", "doc_id", distinct=True)
 
 
 @query(f"WITH {_TOKENS} SELECT token, df FROM df")
@@ -597,3 +596,6 @@ def synthesized_edges(spark, sf):
     e = synthesize(facts, found, spark.createDataFrame([], "id string, label string, key string"))
     name = lambda c: found["entities"].select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
     return e.join(name("src"), "src").join(name("dst"), "dst").select("type", F.col("src_label").alias("src"), F.col("dst_label").alias("dst"), "event_count", "total_amount", "first_at", "classification")
+
+
+from lodestrand import queries_more  # noqa: E402,F401  # adds its queries

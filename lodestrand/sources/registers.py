@@ -13,7 +13,7 @@ LEI, QID = r"^[A-Z0-9]{18}[0-9]{2}$", r"(Q[0-9]+)$"
 def source_list(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of sources with quoted fields; its ``;``-separated list column becomes an array."""
     df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
-    return df.withColumn("fields", F.filter(F.transform(F.split("fields", ";"), F.trim), lambda x: x != "")) if "fields" in df.columns else df
+    return df.withColumn("fields", F.filter(F.transform(F.split("fields", ";"), lambda x: F.trim(x)), lambda x: x != "")) if "fields" in df.columns else df
 
 
 def require_approved(sources: DataFrame, source_id: str) -> None:

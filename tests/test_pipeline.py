@@ -47,7 +47,7 @@ def test_read_views(engine):
     hits = read_api.search(engine.store.read("entities"), engine.store.read("aliases"), "ALIAS 3").collect()
     assert [h.label for h in hits] == ["Person D3"]
     v, e = engine.graph()
-    top, inside = read_api.snapshot(v, e, 5)
+    top, inside, truncated = read_api.snapshot(v, e, 5)
     assert top.count() == 5 and inside.count() <= e.count()
 
 
