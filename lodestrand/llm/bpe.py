@@ -216,11 +216,12 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     return out.mapInArrow(run, out.schema)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: encodes, then decodes the ids, in one pass.
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: encodes, then decodes the ids, in one pass; with
+    ``with_ids`` also ids array<int>.
 
-    A null text counts as empty (no tokens; the hashes of nothing). Repeated rows and null ids stay as they are; other
-    columns are not read.
+    A null text counts as empty (no tokens; the hashes of nothing); one of any length is encoded whole. Repeated rows and
+    null doc_ids stay as they are; an empty table gives none; other columns are not read.
     """
     small_batches(docs.sparkSession)
     path, pattern = _defaults(path, pattern)
@@ -229,16 +230,20 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
         own = codec(path, pattern)
         names = own.vocabulary.names.__getitem__
         for batch in batches:
-            counts, hashes, decoded = [], [], []
+            counts, hashes, decoded, kept = [], [], [], []
             for text in batch.column("text"):
                 ids = own.encode(text.as_py())
+                if with_ids:
+                    kept.append(list(ids))
                 counts.append(len(ids))
                 hashes.append(hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+            more = [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays(columns + more, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

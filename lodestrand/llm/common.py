@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,14 +39,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out.written_to = at
+    for held in _scratch:
+        held.append(out)
     return out
 
 
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``tables``, which nothing may read any more."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.written_to.rsplit("/", 1)[0])
+
+
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes at its end all that is materialized within. What is made from it must be written by then."""
+    held: list[DataFrame] = []
+    _scratch.append(held)
+    try:
+        yield
+    finally:
+        _scratch.remove(held)
+        discard(*held)
 
 
 def release_shuffles(spark: SparkSession) -> None:
