@@ -59,15 +59,14 @@ _scratch: list[list[DataFrame]] = []
 
 
 @contextmanager
-def scratch():
-    """Deletes at its end all that is materialized within. What is made from it must be written by then."""
+def recorded():
+    """A list of all tables that are materialized within."""
     held: list[DataFrame] = []
     _scratch.append(held)
     try:
-        yield
+        yield held
     finally:
         _scratch.remove(held)
-        discard(*held)
 
 
 def release_shuffles(spark: SparkSession) -> None:
