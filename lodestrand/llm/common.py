@@ -52,7 +52,12 @@ def delete(spark: SparkSession, at: str) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``tables``, which nothing may read any more."""
     for df in tables:
-        delete(df.sparkSession, df.written_to.rsplit("/", 1)[0])
+        delete(df.sparkSession, folder_of(df))
+
+
+def folder_of(df: DataFrame) -> str:
+    """Where ``materialize`` wrote ``df``."""
+    return df.written_to.rsplit("/", 1)[0]
 
 
 _scratch: list[list[DataFrame]] = []
