@@ -57,16 +57,30 @@ class Engine:
         return v, graph.induced(e, v)
 
     def analyse(self) -> dict:
-        """Signals: centralities, bridges, communities and the ranking, keyed by graph version."""
+        """Signals: centralities, bridges, communities and the ranking, keyed by graph version.
+
+        A signal that a graph is too large for is skipped and named in the report; the ranking counts it as nothing.
+        """
         v, e = self.graph()
-        version = self.store.get("graph:version")
-        b, d, cut = graph.betweenness(v, e), graph.degree_centrality(v, e), graph.articulation_points(v, e)
-        ranked = graph.ranking(b.join(d, "id").join(cut.select("id", "pieces"), "id", "left").fillna({"pieces": 0}))
-        groups = graph.communities(v, e)
+        version, skipped = self.store.get("graph:version"), {}
+        kind = v.schema["id"].dataType.simpleString()
+
+        def unless_too_large(name: str, find, columns: str) -> DataFrame:
+            try:
+                return find(v, e)
+            except ValueError as why:
+                skipped[name] = str(why)
+                return self.spark.createDataFrame([], f"id {kind}, {columns}")
+
+        b = unless_too_large("betweenness", graph.betweenness, "betweenness double")
+        cut = unless_too_large("bridge", graph.articulation_points, f"component {kind}, pieces int, sizes array<int>")
+        groups = unless_too_large("community", graph.communities, f"community {kind}")
+        d = graph.degree_centrality(v, e)
+        ranked = graph.ranking(d.join(b, "id", "left").join(cut.select("id", "pieces"), "id", "left").fillna({"pieces": 0, "betweenness": 0.0}))
         signal = lambda df, kind, value: df.select(F.lit(kind).alias("signal_type"), F.col("id").alias("entity_id"), value.cast("string").alias("value"))
         rows = signal(b, "betweenness", F.col("betweenness")).unionByName(signal(d, "degree", F.col("centrality"))).unionByName(signal(cut, "bridge", F.col("pieces"))).unionByName(signal(groups, "community", F.col("community"))).unionByName(signal(ranked, "ranking", F.concat_ws(":", "rank", "score")))
         rows = rows.withColumn("graph_version", F.lit(version)).withColumn("id", content_id("analytical_signal", F.col("signal_type"), F.col("entity_id"), F.col("graph_version")))
-        return self._save("analyse", {"analytical_signals": rows})
+        return self._save("analyse", {"analytical_signals": rows}) | ({"skipped": skipped} if skipped else {})
 
     def corroborate(self) -> dict:
         """Findings in space and time, keyed by graph version."""

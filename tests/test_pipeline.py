@@ -33,6 +33,13 @@ def test_rerun_adds_nothing(engine):
     assert set(again) == {0} and engine.store.get("graph:version") == before
 
 
+def test_signals_that_a_graph_is_too_large_for_are_skipped(engine, monkeypatch):
+    monkeypatch.setattr(graph, "PATH_VERTICES", 1)
+    monkeypatch.setattr(graph, "COMPONENT_EDGES", 1)
+    report = engine.analyse()
+    assert set(report["skipped"]) == {"betweenness", "bridge", "community"} and "1 vertices" in report["skipped"]["betweenness"]
+
+
 def test_dossier_is_stable_and_cites(engine):
     a, b = dossier.assemble(engine), dossier.assemble(engine)
     assert a["digest"] == b["digest"] and len(a["sections"]) == 12 and a["version"].startswith("dossier.v1.")
