@@ -153,6 +153,11 @@ class Model:
         return (sizes - 2).tolist(), np.add.reduceat(value, starts).tolist(), [k[first][p] for p in pieces], [n[p] for p in pieces]
 
 
+def _column(df: DataFrame, name: str) -> pa.ChunkedArray:
+    """A column on the driver, without an object for each row."""
+    return df.select(name).toArrow().column(name)
+
+
 def _fold(key: Column | str = "key") -> Column:
     return F.shiftright(key, _FOLD).bitwiseAND(F.lit(1))
 
@@ -192,10 +197,20 @@ def fit(sample: DataFrame) -> tuple[Model, DataFrame]:
     """The models of the texts in ``sample`` (text, fold), which is of bounded size: what tasks hold, and (key, part) of all
     other n-grams. A text counts for the model that scores the other fold."""
     spark = sample.sparkSession
-    counted = sample.select("fold", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count_if(F.col("fold") == 0).alias("n0"), F.count_if(F.col("fold") == 1).alias("n1")).collect()
-    both = sorted(r["w"] for r in counted if r["n0"] and r["n1"] and not r["w"].startswith("\0"))
-    shapes = [Counter(shape(r["w"]) for r in counted if r[f"n{f}"] and not r[f"n{1 - f}"]) for f in (0, 1)]
-    words = Words(both, sorted(shapes[0].keys() & shapes[1].keys()))
+    counted = materialize(sample.select("fold", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.max(F.col("fold") == 0).alias("in0"), F.max(F.col("fold") == 1).alias("in1")), "words")
+    both = sorted(_column(counted.where("in0 and in1").where(~F.col("w").startswith("\0")), "w").to_pylist())
+
+    def shaped(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(shape, batch.column("w").to_pylist()), pa.string()), batch.column("in1")], names=["shape", "in1"])
+
+    lone = counted.where("in0 <> in1").select("w", "in1").mapInArrow(shaped, "shape string, in1 boolean").groupBy("shape").agg(F.count_if(~F.col("in1")).alias("n0"), F.count_if("in1").alias("n1"))
+    shapes: list[Counter] = [Counter(), Counter()]
+    for r in lone.where("n0 > 0 and n1 > 0").collect():  # a row for each shape
+        shapes[0][r["shape"]], shapes[1][r["shape"]] = r["n0"], r["n1"]
+    lost = lone.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    words = Words(both, sorted(shapes[0]))
+    del both
     shared = spark.sparkContext.broadcast(words)
 
     def counts(batches):
@@ -224,12 +239,15 @@ def fit(sample: DataFrame) -> tuple[Model, DataFrame]:
     total1 = F.when(_fold() == 1, F.lit(float(top[1]["total"]) if 1 in top else 1.0)).otherwise(F.lit(float(top[0]["total"]) if 0 in top else 1.0))
     weight1 = F.when(_fold() == 1, F.lit(top[1]["weight"] if 1 in top else 1.0)).otherwise(F.lit(top[0]["weight"] if 0 in top else 1.0))
     p1 = g1.select("key", ((F.col("c") - _discount(d1)) / total1 + weight1 / size).alias("p"))
-    for r in p1.collect():  # a row for each word of the sample
-        uni[r["key"] >> _FOLD & 1, r["key"] & _MASK] = np.log10(r["p"])
+    own = p1.toArrow()  # a row for each word of the sample
+    keys = own.column("key").to_numpy()
+    uni[keys >> _FOLD & 1, keys & _MASK] = np.log10(own.column("p").to_numpy())
     c2, c3 = materialize(_sums(g2, before(1), d2), "contexts"), materialize(_sums(g3, before(2), d3), "contexts")
     back = np.zeros((2, len(words.numbers)))
-    for r in c2.collect():  # a row for each word of the sample
-        back[r["context"] >> _FOLD & 1, r["context"] & _MASK] = np.log10(r["weight"])
+    own = c2.select("context", "weight").toArrow()  # a row for each word of the sample
+    keys = own.column("context").to_numpy()
+    back[keys >> _FOLD & 1, keys & _MASK] = np.log10(own.column("weight").to_numpy())
+    del own, keys
     heavy = lambda df, key, n: [r[0] for r in df.where(F.col(n) > HEAVY).select(key).collect()]  # noqa: E731  # one for each HEAVY n-grams at most
     p2 = _salted(g2, before(1), c2, "context", heavy(c2, "context", "kinds"))
     last = fold_bit.bitwiseOR(low(_MASK))
@@ -242,21 +260,25 @@ def fit(sample: DataFrame) -> tuple[Model, DataFrame]:
     pairs = p2.select(as_pair("key").alias("key"), "c", F.log10(F.col("p") / F.col("less")).alias("part")).unionByName(c3.select(as_pair("context").alias("key"), F.col("total").alias("c"), F.log10("weight").alias("part")))
     parts = pairs.groupBy("key").agg(F.max("c").alias("c"), F.sum("part").alias("part")).unionByName(p3.select("key", "c", F.log10("r").alias("part")))
     parts = materialize(parts, "parts")
-    head = parts.orderBy(F.desc("c"), "key").limit(HEAD).toArrow()
-    keys, values = head.column("key").to_numpy(), head.column("part").to_numpy()
-    if len(keys) < HEAD:
+    head = materialize(parts.orderBy(F.desc("c"), "key").limit(HEAD).withColumn("part", F.col("part").cast("float")), "head")
+    least, n = head.agg(F.min(F.struct("c", (-F.col("key")).alias("key"))), F.count("*")).first()
+    if n < HEAD:
         rest = parts.limit(0)
     else:
-        c, key = head.column("c")[-1].as_py(), int(keys[-1])
+        c, key = least["c"], -least["key"]
         rest = parts.where((F.col("c") < c) | ((F.col("c") == c) & (F.col("key") > key)))
     # a shape stands for many words: each has an even share, as many as the fold's texts tell of (any other shape: of all)
     spell = np.zeros((2, len(words.numbers)))
     for f in (0, 1):
-        spell[f, 2] = -np.log10(1 + sum(shapes[1 - f].values()))
-        for name in shapes[0].keys() & shapes[1].keys():
+        spell[f, 2] = -np.log10(1 + lost[1 - f])
+        for name in shapes[0]:
             spell[f, words.numbers[name]] = -np.log10(1 + shapes[1 - f][name])
+    own = head.select("key", "part").toArrow()
+    keys, values = own.column("key").to_numpy(), own.column("part").to_numpy()
     order = np.argsort(keys)
-    model = Model(words, (uni + spell).astype(np.float32), back.astype(np.float32), (keys[order], values[order].astype(np.float32)), rest.select("key").toArrow().column("key").to_numpy())
+    keys, values = keys[order], values[order]
+    del own, order
+    model = Model(words, (uni + spell).astype(np.float32), back.astype(np.float32), (keys, values), _column(rest, "key").to_numpy())
     model.spell = spell
     return model, rest.select("key", "part")
 

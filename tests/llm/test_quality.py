@@ -119,3 +119,19 @@ def test_long_texts_and_clashing_names(spark):
     assert kept.columns == docs.columns
     found = {r.doc_id: r for r in kept.collect()}
     assert 500 in found and (found[500].row, found[500].doc, found[500].fold) == (1, 2, 3) and found[500].text == rows[-1][1]
+
+
+def test_the_driver_takes_no_row_for_each_word(spark, monkeypatch):
+    """Rows on the driver are objects of some hundred bytes; what grows with the vocabulary comes in columns."""
+    docs = spark.createDataFrame([(k, t + f" lone{k}", "en") for k, t in enumerate(_wide(120, 2))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(120)], "doc_id long, quality int")
+    sample, taken, plain = q._sample(docs, q._good(labels)), [], type(docs).collect
+
+    def collect(df):
+        rows = plain(df)
+        taken.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", collect)
+    model, _ = q.fit(sample)
+    assert max(taken) < 50 < len(model.words.numbers) // 5
