@@ -38,7 +38,10 @@ def anchors(text: Column) -> Column:
             kept = F.filter(once, lambda y, i: (i < ANCHORS) | (y["h"] < ALL_BELOW))
             return _let(kept, lambda k: F.struct(F.transform(k, lambda y: y["h"]).alias("h"), F.transform(k, lambda y: y["p"]).alias("p")))
 
-        return _let(F.array_sort(chosen), firsts)
+        # sort_array compares natively; array_sort would interpret a comparator for each comparison
+        low = _let(F.sort_array(F.filter(chosen, lambda y: y["h"] < ALL_BELOW)), firsts)
+        # below ALL_BELOW all are kept, so the others are sorted only if these are fewer than ANCHORS
+        return _let(low, lambda x: F.when(F.size(x["h"]) >= ANCHORS, x).otherwise(_let(F.sort_array(chosen), firsts)))
 
     def choose(words: Column) -> Column:
         single = F.transform(words, lambda w, i: F.struct(w.alias("h"), i.alias("p")))
@@ -78,19 +81,17 @@ def likeness(a: Column, b: Column) -> Column:
     def compare(both: Column) -> Column:
         def share(shifts: Column) -> Column:
             slack = F.greatest(F.lit(SLACK), (F.greatest(F.array_max(a["p"]), F.array_max(b["p"])) / SLACK_SHARE).cast("int"))
-
-            def aligned(d: Column) -> Column:
-                middle = F.get(F.sort_array(d), ((F.size(d) - 1) / 2).cast("int"))
-                return F.size(F.filter(d, lambda x: F.abs(x - middle) <= slack))
-
-            return F.when(F.size(shifts) == 0, 0.0).otherwise(_let(shifts, aligned) / (F.size(both) - F.size(shifts)))
+            middle = F.get(F.sort_array(shifts), ((F.size(shifts) - 1) / 2).cast("int"))
+            # once for a pair, not for each of its shifts
+            aligned = _let(F.struct((middle - slack).alias("lo"), (middle + slack).alias("hi")), lambda m: F.size(F.filter(shifts, lambda x: (x >= m["lo"]) & (x <= m["hi"]))))
+            return F.when(F.size(shifts) == 0, 0.0).otherwise(aligned / (F.size(both) - F.size(shifts)))
 
         next_to = F.transform(both, lambda x, i: F.when(F.get(both, i + 1)["h"] == x["h"], F.get(both, i + 1)["p"] - x["p"]))
         return _let(F.filter(next_to, lambda d: d.isNotNull()), share)
 
     either = (F.size(a["h"]) == 0) | (F.size(b["h"]) == 0)
     both = (F.size(a["h"]) == 0) & (F.size(b["h"]) == 0)
-    every = _let(F.least(cover(a), cover(b)), lambda bound: F.array_sort(F.concat(within(a, 0, bound), within(b, 1, bound))))
+    every = _let(F.least(cover(a), cover(b)), lambda bound: F.sort_array(F.concat(within(a, 0, bound), within(b, 1, bound))))
     return F.when(both, 1.0).when(either, 0.0).otherwise(_let(every, compare))
 
 

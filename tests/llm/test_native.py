@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +240,13 @@ def test_a_passage_in_a_long_text_keeps_its_anchors(spark):
         slack = max(fingerprint.SLACK, int(max(*a[i].p, *a[j].p) / fingerprint.SLACK_SHARE))
         want = sum(abs(d - shifts[(len(shifts) - 1) // 2]) <= slack for d in shifts) / len(u.keys() | v.keys()) if shifts else 0.0
         assert got[i, j] == pytest.approx(want)
+
+
+def test_fingerprints_of_very_long_texts_take_no_square_of_time(spark):
+    """The middle of all shifts is found once for a pair of fingerprints, not once for each of its anchors."""
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:225_000] + words[:75_000]))]
+    began = time.time()
+    a, b = (x.near_edited for x in fingerprint.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect())
+    assert time.time() - began < 30 and 0.7 < a < 0.8 and b > 0.95
