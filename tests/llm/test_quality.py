@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrand.llm import quality as q
 
@@ -135,3 +136,24 @@ def test_the_driver_takes_no_row_for_each_word(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "collect", collect)
     model, _ = q.fit(sample)
     assert max(taken) < 50 < len(model.words.numbers) // 5
+
+
+def test_models_learn_from_all_trusted_texts(spark):
+    """More texts than a sample would hold; each word stands in one text of each fold, so a text left out loses its words."""
+    ids = spark.range(20_600).select(F.col("id").alias("doc_id")).select("doc_id", q.fold_of().alias("f")).collect()
+    nth, rows = [0, 0], []
+    for r in ids:
+        rows.append((r.doc_id, f"word{nth[r.f]} is here", "en"))
+        nth[r.f] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r.doc_id, 1) for r in ids], "doc_id long, quality int")
+    sample = q._sample(docs, q._good(labels))
+    assert sample.count() == len(ids)
+    numbers = q.fit(sample)[0].words.numbers
+    assert all(f"word{k}" in numbers for k in range(min(nth))) and f"word{max(nth)}" not in numbers
+
+
+def test_passes_add_up(spark, monkeypatch):
+    """Perplexities are those of all n-grams if the joins are made in several passes."""
+    monkeypatch.setattr(q, "PASS", 100)
+    test_perplexities_equal_brute_force(spark, monkeypatch, 60, 3)
