@@ -157,3 +157,32 @@ def test_passes_add_up(spark, monkeypatch):
     """Perplexities are those of all n-grams if the joins are made in several passes."""
     monkeypatch.setattr(q, "PASS", 100)
     test_perplexities_equal_brute_force(spark, monkeypatch, 60, 3)
+
+
+def test_no_table_of_ngrams_is_written(spark, monkeypatch):
+    """What is written on the way is a row for each word, document or bigram of a frequent word, not for each n-gram."""
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(_wide(400, 2))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(400)], "doc_id long, quality int")
+    ngrams = {tuple(w[k : k + n]) for r in docs.collect() for w in [r.text.split()] for n in (2, 3) for k in range(len(w) - n + 1)}
+    written, plain = [], q.materialize
+
+    def materialize(df, name):
+        out = plain(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(q, "materialize", materialize)
+    assert q.judge(docs, labels).count() == 400
+    assert max(written) < len(ngrams) // 4
+
+
+def test_runs_of_a_word_in_trusted_texts(spark, monkeypatch):
+    """They count once and are scored whole, wherever in a text they stand and however n-grams are dealt."""
+    monkeypatch.setattr(q, "PASS", 50)
+    monkeypatch.setattr(q, "HEAVY", 2)
+    monkeypatch.setattr(q, "BLOCK", (10, 10))
+    monkeypatch.setattr(q, "CHUNK", 20)
+    r = random.Random(5)
+    runs = [" ".join(w for x in t.split() for w in [x] * r.choice([1, 1, 1, 2, 4])) for t in _corpus(40, 3)]
+    monkeypatch.setitem(globals(), "_corpus", lambda n, seed=1: runs)
+    test_perplexities_equal_brute_force(spark, monkeypatch, 100, 2)
