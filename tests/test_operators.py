@@ -202,3 +202,21 @@ def test_thresholds_within_a_subset(spark):
     bound = aggregates.threshold_selection(scored, 0.5, subset="hard", subset_ceiling=0.4).first()
     assert bound.threshold == 0.9 and bound.feasible
     assert not aggregates.threshold_selection(scored, -1.0).first().feasible
+
+
+def test_blocks_of_many_names_and_parts_give_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PART", 3)
+    r = random.Random(5)
+    rows = sorted({(k % 40, f"{r.choice('abc')}x {r.choice('def')}y") for k in range(90)})
+    found = pairs.candidates(spark.createDataFrame([*rows, (None, "ax dy"), (50, None), (51, "")], "ref long, name string"))[0]
+    want = {}
+    for a, m in rows:
+        for b, n in rows:
+            if a < b:
+                for block in ([f"n:{m}"] if m == n else []) + ([f"w:{m.split()[0]}"] if m.split()[0] == n.split()[0] else []):
+                    want[a, b] = min(block, want.get((a, b), block))
+    got = [(x.ref_a, x.ref_b, x.block) for x in found.collect()]
+    assert len(got) == len(want) and {(a, b): k for a, b, k in got} == want
+    # pairs are neither exchanged nor grouped
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Join Inner") < plan.index("Aggregate")
