@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.numbers import haversine_m
 
+#: Rows of a key that meet as many others at once.
+PART = 1_000
+
 
 def range_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, width: float, keys: Sequence[str] = (), residual: Column | None = None) -> DataFrame:
     """Rows of both sides with |left_at - right_at| <= width (numbers) and equal ``keys`` (of the same names).
@@ -65,14 +68,30 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, key: str = "id") -> Da
     return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
-def negative_sample(left: DataFrame, right: DataFrame, key: str, known: DataFrame, seed: int, each: int) -> DataFrame:
+def negative_sample(left: DataFrame, right: DataFrame, key: str, known: DataFrame | Callable[[Column, Column], Column], seed: int, each: int) -> DataFrame:
     """(a, b): of every row (key, id) of ``left``, its ``each`` rows of ``right`` with the same key and another id, least by
-    a hash of the seed and both ids, without the pairs of ``known`` (a, b). Nothing depends on order of arrival."""
-    a, b = left.select(key, F.col("id").alias("a")), right.select(key, F.col("id").alias("b"))
-    pairs = a.join(b, key).where("a <> b").select("a", "b").join(known.select("a", "b"), ["a", "b"], "left_anti")
-    drawn = pairs.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("a").cast("string"), F.col("b").cast("string"))))
-    w = Window.partitionBy("a").orderBy("h", "b")
-    return drawn.withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).select("a", "b")
+    a hash of the seed and both ids, without the pairs of ``known``: rows (a, b), or a condition on both that is never null.
+    Nothing depends on order of arrival.
+
+    A key's rows of ``right`` lie in lists of about ``PART``. A row of ``left`` meets them list by list and takes on its
+    least of each, so no pair has a row of its own and no task holds more than lists.
+    """
+    a, b = left.where("id is not null").select(key, F.col("id").alias("a")), right.where("id is not null").select(key, F.col("id").alias("b"))
+    parts = b.groupBy(key).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = b.join(parts, key).withColumn("q", F.expr("cast(pmod(xxhash64(b), parts) as int)"))
+    lists = dealt.groupBy(key, "q").agg(F.collect_list("b").alias("bs"))
+    met = a.join(parts, key).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    # few bytes stand for much work: a number of tasks that is not made smaller
+    met = met.repartition(4 * left.sparkSession.sparkContext.defaultParallelism, "a", "q").join(lists, [key, "q"])
+    if isinstance(known, DataFrame):
+        held = known.select("a", "b").distinct().join(dealt.select(key, "q", "b").distinct(), "b").groupBy("a", key, "q").agg(F.collect_list("b").alias("ks"))
+        met = met.join(held, ["a", key, "q"], "left")
+        met = met.withColumn("bs", F.when(F.col("ks").isNull(), F.col("bs")).otherwise(F.filter("bs", lambda x: ~F.array_contains("ks", x))))
+    others = F.filter("bs", lambda x: (x != F.col("a")) if isinstance(known, DataFrame) else (x != F.col("a")) & ~known(F.col("a"), x))
+    start = F.concat(F.lit(f"{seed}|"), F.col("a").cast("string"), F.lit("|"))
+    least = lambda x: F.slice(F.sort_array(x), 1, each)
+    drawn = met.withColumn("__s", start).select("a", least(F.transform(others, lambda x: F.struct(F.md5(F.concat("__s", x.cast("string"))).alias("h"), x.alias("b")))).alias("t"))
+    return drawn.groupBy("a").agg(least(F.flatten(F.collect_list("t"))).alias("t")).select("a", F.explode("t.b").alias("b"))
 
 
 def missing(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:

@@ -220,3 +220,19 @@ def test_blocks_of_many_names_and_parts_give_each_pair_once(spark, monkeypatch):
     # pairs are neither exchanged nor grouped
     plan = found._jdf.queryExecution().analyzed().toString()
     assert plan.index("Join Inner") < plan.index("Aggregate")
+
+
+def test_negative_samples_meet_list_by_list(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(joins, "PART", 4)
+    rows = [(k % 2, k) for k in range(40)]
+    df = spark.createDataFrame(rows, "g long, id long")
+    known = {(a, b) for _, a in rows for _, b in rows if (a + b) % 7 == 0}
+    draw = lambda a, g: sorted((hashlib.md5(f"42|{a}|{b}".encode()).hexdigest(), b) for h, b in rows if h == g and b != a and (a, b) not in known)[:3]
+    want = {(a, b) for g, a in rows for _, b in draw(a, g)}
+    for given in (lambda a, b: (a + b) % 7 == 0, spark.createDataFrame(sorted(known), "a long, b long")):
+        found = joins.negative_sample(df, df, "g", given, 42, 3)
+        got = [(x.a, x.b) for x in found.collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
