@@ -18,12 +18,12 @@ NUMBERS = ["duration", "amount", "latitude", "longitude"]
 _V = "__v"
 
 
-def text(path: str, of: Column | str = _V) -> Column:
+def _text(path: str, of: Column | str = _V) -> Column:
     """The string at ``path``; null if it is empty or no string."""
     return F.when(F.schema_of_variant(F.try_variant_get(of, path, "variant")) == "STRING", F.nullif(F.try_variant_get(of, path, "string"), F.lit("")))
 
 
-def number(path: str) -> Column:
+def _number(path: str) -> Column:
     """The finite number at ``path``."""
     n = F.try_variant_get(_V, path, "double")
     return F.when(F.schema_of_variant(F.try_variant_get(_V, path, "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL)") & ~n.isin(float("inf"), float("-inf")) & ~F.isnan(n), n)
@@ -32,7 +32,7 @@ def number(path: str) -> Column:
 def texts(path: str) -> Column:
     """The strings of the array at ``path``."""
     each = F.coalesce(F.try_variant_get(_V, path, "array<variant>"), F.array().cast("array<variant>"))
-    return F.filter(F.transform(each, lambda x: text("$", x)), lambda x: x.isNotNull())
+    return F.filter(F.transform(each, lambda x: _text("$", x)), lambda x: x.isNotNull())
 
 
 def _fact(record_type: str, path: Column | str, fact_type: Column | str, when: Column, **data: Column) -> Column:
@@ -57,9 +57,21 @@ def _each(values: Column, path: str, build) -> Column:
     return F.transform(values, lambda x, i: build(x, F.concat(F.lit(path + "["), i.cast("string"), F.lit("]"))))
 
 
-def _rules() -> dict[str, list[Column]]:
-    """Arrays of facts of each item type."""
-    one = F.array
+def _rules() -> tuple[dict[str, list[Column]], dict[str, Column]]:
+    """Arrays of facts of each item type, and the columns of content that they read, by name: each is read once for an item,
+    however often facts use it."""
+    one, read = F.array, {}
+
+    def text(path: str, of: Column | None = None) -> Column:
+        return _text(path, of) if of is not None else field(f"__text {path}", _text(path))
+
+    def number(path: str) -> Column:
+        return field(f"__number {path}", _number(path))
+
+    def field(called: str, value: Column) -> Column:
+        read[called] = value
+        return F.col(f"`{called}`")
+
     name, number_, imei, plate, account, holder = text("$.name"), text("$.number"), text("$.imei"), text("$.plate"), text("$.account"), text("$.holderName")
     both = lambda *xs: F.array_contains(F.array(*[x.isNull() for x in xs]), True) == F.lit(False)
     person = lambda x, p: _fact("entity_mention", p, "person_named", F.lit(True), mention_kind=F.lit("person"), observed=x)
@@ -93,7 +105,7 @@ def _rules() -> dict[str, list[Column]]:
         "witness_statement": [one(_attribute("text", "statement_text", text("$.text"), text("$.statementId"))), _each(statement, "aboutNames", person)],
         "crime_event": [one(_fact("event_mention", "$", "crime_event", both(text("$.eventId"), text("$.occurredAt")), event_kind=F.lit("crime"), event_ref=text("$.eventId"), occurred_at=text("$.occurredAt"), observed=text("$.firNumber"), tower=text("$.nearestTower"), scene=text("$.sceneLabel")))],
         "public_record": [F.when(licensed, part) for part in public],
-    }
+    }, read
 
 
 def extract(items: DataFrame) -> DataFrame:
@@ -105,9 +117,10 @@ def extract(items: DataFrame) -> DataFrame:
     kinds = sorted(str(r["item_type"]) for r in items.select("item_type").distinct().collect())  # as many as there are types
     if unknown := [k for k in kinds if k not in ITEM_TYPES]:
         raise ValueError(f"no extractor for item type {unknown[0]}")
-    rules, out = _rules(), None
+    (rules, read), out = _rules(), None
     for kind in kinds or ITEM_TYPES[:1]:
         own = items.where(F.col("item_type") == kind).select(F.col("id").alias("evidence_item_id"), F.try_parse_json("content").alias(_V))
+        own = own.select("*", *[c.alias(name) for name, c in read.items()])
         facts = F.flatten(F.filter(F.array(*rules[kind]), lambda p: p.isNotNull()))
         rows = own.select("evidence_item_id", F.inline(F.filter(facts, lambda x: x.isNotNull())))
         out = rows if out is None else out.unionByName(rows)

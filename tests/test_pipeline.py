@@ -151,3 +151,12 @@ def test_unknown_people_are_not_answered_as_known_ones(spark):
     assert got["f"].unknown == ["SYN-AC-000099"] and got["f"].mentions == ["p5"]
     assert got["g"].unknown == ["'the grey man'"] and got["g"].mentions == ["p6"]
     assert len(got) == 10 and got["i"].mentions == []
+
+
+def test_each_field_of_content_is_read_once(spark):
+    items = spark.createDataFrame([("i", "financial_transaction_record", '{"txnRef":"t","fromAccount":"a","toAccount":"b","valueDate":"d","amount":1}')], "id string, item_type string, content string")
+    facts = extract.extract(items)
+    assert [(r.from_account, r.to_account, r.amount) for r in facts.collect()] == [("a", "b", 1.0)]
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    # txnRef, fromAccount, toAccount, valueDate, currency and amount
+    assert plan.count("schemaOfVariant") == 6
