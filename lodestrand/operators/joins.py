@@ -11,6 +11,8 @@ from lodestrand.functions.numbers import haversine_m
 
 #: Rows of a key that meet as many others at once.
 PART = 1_000
+#: Rows of a part of a large table.
+ROWS = 1_000_000
 
 
 def range_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, width: float, keys: Sequence[str] = (), residual: Column | None = None) -> DataFrame:
@@ -63,6 +65,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return best.select(*keys, *[F.col(f"r.`{c}`").alias(c) for c in rest])
 
 
+def parts_of(df: DataFrame) -> int:
+    """How many parts of about ``ROWS`` rows ``df`` takes, so that a task holds as much of a larger table; the session's
+    number of shuffle partitions at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS))
+
+
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
     """Rows of ``new`` whose key ``existing`` lacks, each key once."""
     return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")

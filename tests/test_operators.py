@@ -236,3 +236,19 @@ def test_negative_samples_meet_list_by_list(spark, monkeypatch):
         got = [(x.a, x.b) for x in found.collect()]
         assert len(got) == len(want) and set(got) == want
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_large_tables_grow_with_them(spark, monkeypatch, tmp_path):
+    from lodestrand.queries import derived_edges_owner_rollup
+
+    tables = {
+        "customer": ([(0, 1), (1, 2)], "c_custkey long, c_nationkey int"), "supplier": ([(0, 2), (1, 3)], "s_suppkey long, s_nationkey int"),
+        "orders": ([(k, k % 2) for k in range(30)], "o_orderkey long, o_custkey long"), "lineitem": ([(k, j) for k in range(30) for j in (0, 1, 1)], "l_orderkey long, l_suppkey long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(joins, "ROWS", 10)
+    found = derived_edges_owner_rollup(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.select("src", "dst", "n", "evidence_count").collect()) == [(1, 2, 15, 15), (1, 3, 30, 15), (2, 3, 30, 15)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and ", 9), REPARTITION_BY_NUM" in plan
