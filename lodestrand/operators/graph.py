@@ -23,6 +23,8 @@ from lodestrand.operators.aggregates import running_sums
 COMPONENT_EDGES, PATH_VERTICES, PATH_EDGES = 2_000_000, 20_000, 500_000
 #: Graphs of no more edges have their components found by one task.
 FEW_EDGES = 200_000
+#: Vertices of a frontier that are sent to all tasks; more are joined.
+FRONT = 1_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -116,17 +118,23 @@ def degree_centrality(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def hops(edges: DataFrame, sources: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
     """(source, id, hops, previous): breadth-first distances from each of ``sources`` (id), ignoring direction.
 
-    ``previous`` is the least neighbour that is one hop nearer. Only the frontier is joined in each round.
+    ``previous`` is the least neighbour that is one hop nearer. Only the frontier is joined in each round, to
+    the edges where they lie unless it is large.
     """
-    e = cut(undirected(edges.where(F.col("type").isin(list(types))) if types else edges))
-    known = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops"), F.lit(None).cast(sources.schema["id"].dataType).alias("previous")))
+    e = edges.where(F.col("type").isin(list(types))) if types else edges
+    e = cut(e.select("src", "dst").where("src <> dst"))
+    front = known = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops"), F.lit(None).cast(sources.schema["id"].dataType).alias("previous")))
+    size = front.count()
     for k in count(1):
-        front = known.where(F.col("hops") == k - 1).select("source", F.col("id").alias("src"))
-        new = front.join(e, "src").groupBy("source", F.col("dst").alias("id")).agg(F.min("src").alias("previous")).join(known.select("source", "id"), ["source", "id"], "left_anti")
-        new = cut(new.select("source", "id", F.lit(k).alias("hops"), "previous"))
-        if new.isEmpty():
+        ends = front.select("source", F.col("id").alias("at"))
+        ends = F.broadcast(ends) if size <= FRONT else ends  # edges need no exchange
+        met = [e.join(ends, F.col(a) == F.col("at")).select("source", F.col(b).alias("id"), "at") for a, b in (("src", "dst"), ("dst", "src"))]
+        new = met[0].unionByName(met[1]).groupBy("source", "id").agg(F.min("at").alias("previous")).join(known.select("source", "id"), ["source", "id"], "left_anti")
+        front = cut(new.select("source", "id", F.lit(k).alias("hops"), "previous"))
+        size = front.count()
+        if not size:
             break
-        known = known.unionByName(new)
+        known = known.unionByName(front)
     return known
 
 

@@ -252,3 +252,13 @@ def test_parts_of_large_tables_grow_with_them(spark, monkeypatch, tmp_path):
     assert sorted(tuple(r) for r in found.select("src", "dst", "n", "evidence_count").collect()) == [(1, 2, 15, 15), (1, 3, 30, 15), (2, 3, 30, 15)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_orderkey" in plan and ", 9), REPARTITION_BY_NUM" in plan
+
+
+def test_rounds_of_a_small_frontier_exchange_no_edges(spark):
+    edges = spark.createDataFrame([(k, k + 1, "t") for k in range(4)] + [(k, k + 1, "t") for k in range(100, 20_000, 2)], "src long, dst long, type string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in range(spark.sparkContext._jsc.sc().dagScheduler().nextStageId()) if spark.sparkContext.statusTracker().getStageInfo(k))
+    before = written()
+    found = graph.hops(edges, spark.createDataFrame([(2,)], "id long"))
+    assert {r.id: (r.hops, r.previous) for r in found.collect()} == {0: (2, 1), 1: (1, 2), 2: (0, None), 3: (1, 2), 4: (2, 3)}
+    assert written() - before < 1_000
