@@ -214,7 +214,7 @@ class Model:
         order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
         u, v, w, text, shard = u[order], v[order], w[order], text[order], shard[order]
         new = np.flatnonzero(np.diff(shard, prepend=-1))
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(shard)], strict=True):
+        for a, b in zip(new.tolist(), [*new.tolist(), len(shard)][1:], strict=True):
             yield int(shard[a]), _packed([u[a:b], v[a:b], w[a:b]], np.bincount(text[a:b], minlength=len(sizes)), flags)
 
 
