@@ -262,3 +262,12 @@ def test_rounds_of_a_small_frontier_exchange_no_edges(spark):
     found = graph.hops(edges, spark.createDataFrame([(2,)], "id long"))
     assert {r.id: (r.hops, r.previous) for r in found.collect()} == {0: (2, 1), 1: (1, 2), 2: (0, None), 3: (1, 2), 4: (2, 3)}
     assert written() - before < 1_000
+
+
+def test_edges_are_folded_after_one_exchange_of_contributions(spark):
+    rows = [("t", f"a{k % 3}", f"b{k % 2}", f"e{k % 4}", f"r{k}", f"d{k}", 1.0, 2.0, "x", "m") for k in range(24)]
+    c = spark.createDataFrame(rows, "type string, src string, dst string, evidence_id string, record_id string, at string, duration double, amount double, currency string, method string")
+    plain, dealt = aggregates.aggregate_edges(c), aggregates.aggregate_edges(c, 5)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect()))
